@@ -150,37 +150,42 @@ STEP = 1 << 20
 class Words:
     """Words of a batch of texts: 64-bit hashes in order, and where each text's words begin."""
 
-    def __init__(self, column, lower: bool = False):
+    def __init__(self, column, lower: bool = False, space: np.ndarray = _IS_SPACE, heads: tuple[int, ...] = ()):
+        """space: which bytes stand between words. heads: also hash the first so many bytes of longer words (0: not longer)."""
         buf, off = strings(column)
         table = _LOWER if lower else _BYTE
         hashes, starts, at = [], [], 0
+        tops: list[list[np.ndarray]] = [[] for _ in heads]
         first = np.zeros(len(buf) + 1, bool)
         first[off] = True
         while at < len(buf):
             end = min(len(buf), at + STEP)
-            while end < len(buf) and not (_IS_SPACE[buf[end]] or first[end]):
-                end += 1 if end + 1 >= len(buf) else max(1, self._to_break(buf, first, end))
-                end = min(end, len(buf))
+            while end < len(buf) and not (space[buf[end]] or first[end]):
+                end = min(len(buf), end + max(1, self._to_break(buf, first, end, space)))
             part = buf[at:end]
-            inside = ~_IS_SPACE[part]
+            inside = ~space[part]
             begin = inside.copy()
             begin[1:] &= ~inside[:-1] | first[at + 1 : end]
             last = inside.copy()
             last[:-1] &= ~inside[1:] | first[at + 1 : end]
             s, e = np.flatnonzero(begin), np.flatnonzero(last) + 1
-            hashes.append(span_hash(prefix_hash(table[part]), s, e))
+            prefix = prefix_hash(table[part])
+            hashes.append(span_hash(prefix, s, e))
+            for k, own in zip(heads, tops, strict=True):
+                own.append(np.where(e - s > k, span_hash(prefix, s, np.minimum(s + k, e)) + np.uint64(k), np.uint64(0)))
             starts.append(s + at)
             at = end
         self.hash = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.heads = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in tops]
         start = np.concatenate(starts) if starts else np.empty(0, np.int64)
         #: word i belongs to text d for off[d] <= i < off[d + 1]
         self.off = np.searchsorted(start, off)
         self.n = np.diff(self.off)
 
     @staticmethod
-    def _to_break(buf, first, at: int) -> int:
+    def _to_break(buf, first, at: int, space: np.ndarray) -> int:
         part = slice(at, at + 4096)
-        stop = np.flatnonzero(_IS_SPACE[buf[part]] | first[part][: len(buf[part])])
+        stop = np.flatnonzero(space[buf[part]] | first[part][: len(buf[part])])
         return int(stop[0]) if len(stop) else len(buf[part])
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:

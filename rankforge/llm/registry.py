@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, substring_dedup, suffix_dedup
+from . import bpe, language_id, lm_scoring, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.query,
         "op3_suffix_dedup": suffix_dedup.query,
+        "op4_byte_bpe": bpe.query,
         "op5_lm_scoring": lm_scoring.query,
         "op9_substring_dedup": substring_dedup.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
