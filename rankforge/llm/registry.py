@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, lm_scoring, substring_dedup, suffix_dedup, toxicity
+from . import bpe, exact_dedup, language_id, lm_scoring, mixing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.query,
+        "op2_quality_rules": quality_rules.query,
         "op3_suffix_dedup": suffix_dedup.query,
         "op4_byte_bpe": bpe.query,
         "op5_lm_scoring": lm_scoring.query,
+        "op6_mixing": mixing.query,
+        "op8_exact_dedup": exact_dedup.query,
         "op9_substring_dedup": substring_dedup.query,
         "op10_toxicity": toxicity.query,
     }
@@ -19,5 +22,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_lm_scoring": lm_scoring.SQL,
+        "op8_exact_dedup": exact_dedup.SQL,
         "op9_substring_dedup": substring_dedup.SQL,
     }
