@@ -1,8 +1,45 @@
-"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-STAGES: list = []
+Every stage but the last keeps the columns of documents. Part of subpackage ``llm``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rankforge.llm import bpe, exact_dedup, jaccard_join, mixing, quality_rules
+from rankforge.llm.common import documents, materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.filter_docs(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.one_of_each(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs, n=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(docs).drop("decoded")
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("source mixing", mix), ("byte-level BPE", encode)]
+#: SQL can express neither the components nor the encoding; tests/llm checks the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs

@@ -194,7 +194,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
             for ids, raw in own.texts(texts):
-                rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), [int(i) for i in ids.split()] if with_ids else None, raw.decode("utf-8", "replace") if with_ids else None))
+                rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), np.fromstring(ids, np.int32, sep=" ") if with_ids else None, raw.decode("utf-8", "replace") if with_ids else None))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 

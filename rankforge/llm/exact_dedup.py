@@ -109,6 +109,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     return decided(own.join(mixed, "digest", "left_anti").join(classes, "digest")).unionByName(decided(odd.join(by_text, ["digest", "text_sha256"])))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with its columns."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # free of clashes
+    own = docs.toDF(*names)
+    kept = dedup(own, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)])
+    kept = kept.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")).distinct()
+    text = F.sha2(normalised(F.col(names[docs.columns.index(text_col)])), 256)
+    # the pair of digest and id, unlike the digest alone, is no hot key
+    return own.join(kept, F.col(names[docs.columns.index(id_col)]).cast("long").eqNullSafe(F.col("k_id")) & (text == F.col("k_sha")), "left_semi").toDF(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir)).drop("keep_locator")
 

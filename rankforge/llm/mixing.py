@@ -97,5 +97,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return taken.unionByName(none).select("doc_id", *carry, "size", "source_size", "target", "taken")
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of docs, each as often as the mix takes its words (rounded to whole documents): 0 to ``CAP`` times."""
+    key = F.xxhash64(F.col(text_col).cast("string"), F.col(source_col).cast("string"))
+    plan = mix(docs.withColumn("_key", key), id_col, text_col, source_col, carry=("_key",))
+    # rows alike in id, text and source share what they get
+    plan = plan.filter("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.floor(F.avg("taken") / F.max("size") + 0.5).cast("int").alias("_copies")).filter("_copies > 0")
+    own = docs.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_k")))
+    return own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, lm_scoring, mixing, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import bpe, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_byte_bpe": bpe.query,
         "op5_lm_scoring": lm_scoring.query,
         "op6_mixing": mixing.query,
+        "op7_jaccard_join": jaccard_join.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_substring_dedup": substring_dedup.query,
         "op10_toxicity": toxicity.query,
