@@ -10,6 +10,7 @@ import atexit
 import gc
 import math
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -66,9 +67,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now; it does so when it collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of finished steps now; it does so when it collects garbage.
+
+    Twice: what the first collection finalizes still holds on to the shuffles.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:
