@@ -33,8 +33,8 @@ class Plan:
 
     def __init__(self, docs: DataFrame, text_col: str = "text", page_bytes: int = PAGE_BYTES):
         size, p = text_bytes(docs, text_col), partitions(docs.sparkSession)
-        self.pages = max(4 * p, ceil_div(size, page_bytes))
-        self.buckets = max(2 * p, ceil_div(size, BUCKET_BYTES))
+        self.pages = max(3 * p, ceil_div(size, page_bytes))
+        self.buckets = max(p, ceil_div(size, BUCKET_BYTES))
 
 
 def paged(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", first: int = 0) -> DataFrame:
