@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, materialize
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2
-SLOTS, RANGES = 1 << 18, 256
+SLOTS, CELLS = 1 << 18, 4096
 GOLDEN = 0.6180339887498949
 
 
@@ -55,12 +55,14 @@ def schedule(spark: SparkSession, goal: DataFrame, slots: int = SLOTS) -> DataFr
     tokens = max(1, int(total // slots) + (total % slots > 0))
     n = int(-(-total // tokens))
     whole = Window.orderBy(F.col("source").asc_nulls_last())
-    # sources are few against documents; their bounds go to the slots as one row
-    bounds = goal.filter("target > 0").withColumn("high", F.sum("target").over(whole.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(total or 1.0)).agg(F.sort_array(F.collect_list(F.struct("high", "source"))).alias("b"))
+    by_name = whole.rowsBetween(Window.unboundedPreceding, 0)
+    own = goal.filter("target > 0").withColumn("high", F.sum("target").over(by_name) / F.lit(total or 1.0))
+    own = own.withColumn("low", F.coalesce(F.lag("high").over(whole), F.lit(0.0))).withColumn("high", F.when(F.lead("high").over(whole).isNull(), 2.0).otherwise(F.col("high")))
+    # a range join by cells: a source stands in all cells that its range touches
+    cells = own.select("source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
     point = F.col("slot") * F.lit(GOLDEN) - F.floor(F.col("slot") * F.lit(GOLDEN))
-    own = spark.range(0, n).withColumnRenamed("id", "slot").withColumn("point", point).join(F.broadcast(bounds))
-    hit = F.coalesce(F.get(F.filter("b", lambda x: x["high"] > F.col("point")), F.lit(0)), F.element_at("b", -1))
-    own = own.select("slot", hit["source"].alias("source"))
+    slot = spark.range(0, n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("at", F.floor(F.col("point") * CELLS))
+    own = slot.join(cells, F.col("at") == F.col("cell")).filter("low <= point AND point < high").select("slot", "source")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
     return own.withColumn("block", rank.cast("long")).withColumn("tokens", F.lit(tokens).cast("long"))
 
@@ -82,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = sums.select(F.col("source").alias("s_source"), F.col("r").alias("s_r"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(F.col("r") >= 128, "r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "r").orderBy("h", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(start, same("source", "s_source") & same("r", "s_r")).withColumn("at", F.col("base") + F.col("in_range"))
-    placed = placed.join(F.broadcast(goal.select(F.col("source").alias("g_source"), "source_size", "target")), same("source", "g_source"))
+    placed = placed.join(goal.select(F.col("source").alias("g_source"), "source_size", "target"), same("source", "g_source"))
     own = placed.select("doc_id", "source", "size", "source_size", "target", "at", *carry)
     # parts of documents in blocks, over all passes of the stream
     passes = F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))
