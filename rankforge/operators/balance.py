@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import neighbours
 
+#: Ranges of ids within a class that are numbered apart.
+RANGES = 32
 METHODS = ("smote", "nearmiss1", "nearmiss2", "baggingundersampling", "none")
 
 
@@ -17,16 +19,22 @@ def draw(*parts) -> Column:
 
 
 def spread_classes(df: DataFrame, groups: int, id_col: str, label: str = "label") -> DataFrame:
-    """Adds p in 0 .. groups - 1: each class dealt round-robin in the order of ids.
+    """Adds p in 0 .. groups - 1: each class dealt round-robin in the order of ids (numbers).
 
-    Running numbers are made in two steps, within hash ranges of each class and over the ranges, so that a class with
+    Running numbers are made in two steps, within ``RANGES`` ranges of ids and over the ranges, so that a class with
     most of the rows is not one task's work.
     """
     if not 1 <= groups <= 32767:
         raise ValueError("groups must be 1 to 32767")
     if groups == 1:
         return df.withColumn("p", F.lit(0))
-    return df.withColumn("p", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(id_col)) - 1, F.lit(groups)).cast("int"))
+    cuts = df.select(F.percentile_approx(id_col, [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
+    own = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(id_col))) if cuts else F.lit(0))
+    size = own.groupBy(label, "_range").agg(F.count("*").alias("_n"))
+    before = size.select(F.col(label).alias("_label"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy(label, "_range").orderBy(id_col)) - 1
+    placed = own.withColumn("_number", number).join(before, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_at")))
+    return placed.withColumn("p", F.pmod(F.col("_before") + F.col("_number"), F.lit(groups)).cast("int")).select(*[df[c] for c in df.columns], "p")
 
 
 def minority(df: DataFrame, keys: tuple[str, ...] = ("p",), label: str = "label") -> DataFrame:
