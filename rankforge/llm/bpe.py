@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_workers
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG, CACHE = 512, 600_000
@@ -186,6 +186,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded (the last two null unless asked for)."""
+    small_workers(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,6 +77,15 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+#: Python workers give large freed arrays back to the system at once, instead of keeping them beside the JVM.
+_WORKER = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def small_workers(spark: SparkSession) -> None:
+    for k, v in _WORKER.items():
+        spark.sparkContext.environment.setdefault(k, v)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_workers
 
 DIMS, TRAIN_ROWS, MAX_LANGUAGES = 1 << 16, 4000, 256
 ORDERS = (1, 2, 3)
@@ -184,6 +184,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learned, l
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
+    small_workers(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
