@@ -35,8 +35,8 @@ _LETTER = regex.compile(r"\p{L}")
 _MUL = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last + 1, code points with two zeros between texts, offsets); a long text comes in parts."""
+def _pieces(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, last + 1, code points with two zeros after each text, texts' starts and ends); a long text comes in parts."""
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -49,10 +49,12 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             for k in range(0, len(whole), STEP):  # parts overlap, so that each n-gram is met once
                 own = whole[k : k + STEP + (2 if k + STEP < len(whole) else 0)]
                 code = np.frombuffer((own + ("\0\0" if k + STEP >= len(whole) else "")).encode("utf-32-le", "replace"), np.uint32)
-                yield at, end, code, np.array([0, len(code)])
+                yield at, end, code, np.array([0]), np.array([len(code) - 2])
         else:
             code = np.frombuffer("\0\0".join([*parts, ""]).encode("utf-32-le", "replace"), np.uint32)
-            yield at, end, code, np.concatenate([[0], np.cumsum([len(p) + 2 for p in parts])])
+            length = np.array([len(p) for p in parts])
+            start = np.cumsum(length + 2) - length - 2
+            yield at, end, code, start, start + length
         at = end
 
 
@@ -69,10 +71,10 @@ def _features(code: np.ndarray) -> Iterator[np.ndarray]:
 def counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Features and their counts of each text."""
     out: list = [None] * len(texts)
-    for a, b, code, off in _pieces(texts):
+    for a, b, code, start, stop in _pieces(texts):
         found = list(_features(code))
-        for i, (x, y) in zip(range(a, b), zip(off[:-1], off[1:], strict=True), strict=True):
-            got = np.bincount(np.concatenate([f[x : min(y, len(f))] for f in found]), minlength=1)
+        for i, x, y in zip(range(a, b), start, stop, strict=True):
+            got = np.bincount(np.concatenate([f[x:y] for f in found]), minlength=1)
             got = got if out[i] is None else _add(out[i], got)
             ids = np.flatnonzero(got)
             out[i] = (ids.astype(np.int32), got[ids].astype(np.int32))
@@ -95,14 +97,12 @@ class Model:
         k = len(self.languages)
         total, size = np.zeros((len(texts), max(k, 1))), np.zeros(len(texts))
         if k:
-            for a, b, code, off in _pieces(texts):
-                own = np.zeros((b - a, k))
+            for a, b, code, start, stop in _pieces(texts):
+                edges = np.column_stack([start, stop]).ravel()  # every other sum is of what stands between texts
                 for f in _features(code):
-                    if len(f):
-                        start = np.minimum(off[:-1], len(f) - 1)
-                        own += np.add.reduceat(self.table[f], start, axis=0) * (off[:-1] < len(f))[:, None]
-                total[a:b] += own
-                size[a:b] += np.minimum(off[1:], len(code) - 2) - off[:-1]
+                    rows = np.concatenate([self.table[f], np.zeros((1, k), np.float32)])
+                    total[a:b] += np.add.reduceat(rows, edges, axis=0)[::2] * (stop > start)[:, None]
+                size[a:b] += stop - start
         letters = np.array([bool(_LETTER.search(t)) for t in texts], bool)
         if not k:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))

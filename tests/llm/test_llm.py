@@ -58,9 +58,8 @@ def sha(b):
 
 
 def every():
-    held = F.lit(False)
     return {
-        "language": lambda d: language_id.identify(d, language_id.Model([], np.zeros((1, 1)), np.zeros(1), 1.0), held_out=held),
+        "language": lambda d: language_id.identify(d, language_id.Model([], np.zeros((1, 1)), np.zeros(1), 1.0)),
         "quality": lambda d: quality_rules.judge(d),
         "suffix": lambda d: suffix_dedup.dedup(d),
         "bpe": lambda d: bpe.encode_decode(d),
@@ -233,18 +232,19 @@ def test_exact_dedup(docs):
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), d))
     want = {d: (min(g)[1], len(g), d == min(g)[1], sha(k.encode())) for k, g in groups.items() for _, d in g}
     for digest in (lambda t: F.sha2(t, 256), lambda t: F.substring(F.sha2(t, 256), 1, 1)):  # the second makes digests clash
-        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.dedup(docs, digest=digest, files_per_batch=1).collect()}
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.dedup(docs, digest=digest, bytes_per_batch=1).collect()}
         assert got == want
     assert {r.doc_id for r in exact_dedup.one_of_each(docs).collect()} == {v[0] for v in want.values()}
 
 
 def test_mixing(docs):
-    got = mixing.mix(docs, carry=("source",)).collect()
+    docs = docs.withColumn("from", F.col("source"))
+    got = mixing.mix(docs, carry=("from",)).collect()
     size = {d: len(words(t)) for d, t in enumerate(texts())}
     by = {}
     for r in got:
         assert r.size == size[r.doc_id] and 0 <= r.taken <= 2 * r.size
-        by.setdefault(r.source, []).append(r)
+        by.setdefault(r["from"], []).append(r)
     names = sorted((s for s in by if s is not None)) + [None]
     weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
     total = 1.5 * sum(size.values())
@@ -259,7 +259,7 @@ def test_mixing(docs):
     for s in names:
         assert by[s][0].target == pytest.approx(goal[s]) and by[s][0].source_size == sum(r.size for r in by[s])
         assert abs(sum(r.taken for r in by[s]) - goal[s]) <= max(10, 0.01 * goal[s])
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5), carry=("source",)).collect()), key=str)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5), carry=("from",)).collect()), key=str)
 
 
 def test_bpe_against_tiktoken(docs):
