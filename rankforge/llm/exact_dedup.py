@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, partitions, release, shared_dir
 
-FILES_PER_BATCH = 16
+BYTES_PER_BATCH = 64 << 20
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = "spark.sql.streaming.stateStore."
 
@@ -54,12 +54,15 @@ class StreamingDedup:
         self.folder, self.spark = folder, spark.newSession()
         self.spark.conf.set("spark.sql.shuffle.partitions", partitions(spark))
         self.spark.conf.set(_STATE + "providerClass", _PROVIDER)
+        # a batch writes what it changed; whole states now and then
+        self.spark.conf.set(_STATE + "rocksdb.changelogCheckpointing.enabled", "true")
         self.spark.conf.set(_STATE + "rocksdb.boundedMemoryUsage", "true")
         self.spark.conf.set(_STATE + "rocksdb.maxMemoryUsageMB", "256")
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
 
-    def run(self, source: str, schema, files_per_batch: int = FILES_PER_BATCH) -> None:
-        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    def run(self, source: str, schema, bytes_per_batch: int = BYTES_PER_BATCH) -> None:
+        """Batches of about so many bytes of files, so that their number follows the input and not how it is cut."""
+        stream = self.spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(source)
         state = stream.groupBy("digest").agg(*best())
 
         def write(batch: DataFrame, number: int) -> None:
@@ -76,14 +79,14 @@ class StreamingDedup:
         return last.select("digest", F.col("u.top.doc_id").alias("keep_id"), F.col("u.top.locator").alias("keep_locator"), F.col("u.group_size").alias("group_size"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=lambda text: F.sha2(text, 256), files_per_batch: int = FILES_PER_BATCH, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=lambda text: F.sha2(text, 256), bytes_per_batch: int = BYTES_PER_BATCH, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, keep_id, keep_locator, group_size, kept, text_sha256 and the carried columns; one row for each row of docs."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/dedup-{uuid.uuid4().hex}"
     narrow = digests(docs, id_col, text_col, digest, carry)
     narrow.write.parquet(f"{folder}/digests")
     state = StreamingDedup(spark, folder)
-    state.run(f"{folder}/digests", narrow.schema, files_per_batch)
+    state.run(f"{folder}/digests", narrow.schema, bytes_per_batch)
     own = spark.read.schema(narrow.schema).parquet(f"{folder}/digests")
     try:
         classes = state.classes(spark)
