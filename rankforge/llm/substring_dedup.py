@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import pages as P
 from .common import SPACE, Words, covered, documents, materialize, release, strings
 
-WINDOW, BATCHES, FANOUT = 20, 2, 4
+WINDOW, BATCHES, FANOUT = 20, 3, 4
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 _ASK = np.dtype([("key", "<u8"), ("id", "<i8")])
 
@@ -164,6 +164,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     A word goes if a window of it also starts earlier: in a document of smaller id, or earlier in its own.
     """
     plan = P.Plan(docs, text_col)
+    plan.pages = max(1, plan.pages // batches)  # of each batch
     cuts = [c for c in docs.select(F.col(id_col).cast("long").alias("i")).filter("i is not null").approxQuantile("i", [k / batches for k in range(1, batches)], 0.01)] if batches > 1 else []
     index, replies, all_pages = FingerprintIndex(plan.buckets, window, fanout), None, None
     bounds = [None, *sorted({int(c) for c in cuts}), None]
