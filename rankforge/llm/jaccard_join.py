@@ -73,6 +73,8 @@ def _keys(s: Sets, buckets: int):
 def _ask(n: int, buckets: int):
     def f(table: pa.Table) -> pa.Table:
         own, bucket, _, count = _keys(Sets(P.load(table)[1], n), buckets)
+        if not len(own):
+            return P.nothing()
         order = np.argsort(bucket, kind="stable")
         # 32 bits and the bucket: a clash makes a shingle look less rare, for all its holders
         short, count = own[order].astype(np.uint32), np.minimum(count[order], 255).astype(np.uint8)
