@@ -1,32 +1,56 @@
 """The training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-Every stage but the last keeps the columns of documents. Part of subpackage ``llm``.
+Every stage but the last keeps the columns of documents. A stage's result is to be written before the next stage is
+called: that call removes the tables that the one before kept aside. Part of subpackage ``llm``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rankforge.llm import bpe, exact_dedup, jaccard_join, mixing, quality_rules
-from rankforge.llm.common import documents, materialize
+from rankforge.llm.common import documents, drop_kept_aside, kept_aside, materialize
+
+_before: list[str] = []
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_kept_aside(spark, _before)
+        _before.clear()
+        had = set(kept_aside())
+        out = f(spark, docs, sf_dir)
+        _before.extend(p for p in kept_aside() if p not in had)
+        return out
+
+    return run_stage
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_docs(docs)
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.one_of_each(docs)
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.one_of_each(docs, n=5, percent=80)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs).drop("decoded")
 
@@ -38,8 +62,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, f) in enumerate(STAGES):
+        docs = f(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs)
     return docs

@@ -47,10 +47,25 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    keep_aside(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_aside(spark: SparkSession, path: str) -> None:
+    """Notes a folder to be removed at exit."""
+    _written.append((spark, path))
+
+
+def kept_aside() -> list[str]:
+    return [path for _, path in _written]
+
+
+def drop_kept_aside(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        delete(spark, path)
+    _written[:] = [(s, p) for s, p in _written if p not in paths]
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:

@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, partitions, release, shared_dir
+from .common import documents, keep_aside, materialize, partitions, release, shared_dir
 
 BYTES_PER_BATCH = 64 << 20
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -83,6 +83,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     """doc_id, keep_id, keep_locator, group_size, kept, text_sha256 and the carried columns; one row for each row of docs."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/dedup-{uuid.uuid4().hex}"
+    keep_aside(spark, folder)
     narrow = digests(docs, id_col, text_col, digest, carry)
     narrow.write.parquet(f"{folder}/digests")
     state = StreamingDedup(spark, folder)
