@@ -69,8 +69,10 @@ def schedule(spark: SparkSession, goal: DataFrame, slots: int = SLOTS) -> DataFr
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slots: int = SLOTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (and the carried columns): words the mix takes of each document, repeats counted."""
-    spark = docs.sparkSession
-    sized = sizes(docs, id_col, text_col, source_col, carry)
+    spark, names, carried = docs.sparkSession, carry, tuple(f"_c{i}" for i in range(len(carry)))  # free of clashes
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), *[F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)])
+    carry = carried
+    sized = sizes(docs, carry=carry)
     goal = materialize(targets(sized, weights, share, cap))
     plan = schedule(spark, goal, slots)
     total = goal.agg(F.sum("target")).first()[0] or 0.0
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slot = plan.select(F.col("source").alias("p_source"), F.col("block").alias("p_block"))
     taken = parts.join(slot, same("source", "p_source") & (F.col("block") == F.col("p_block")), "left").groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("p_block").isNotNull(), F.col("length"))), F.lit(0)).alias("taken"))
     none = own.filter("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).select("doc_id", *carry, "size", "source_size", "target", "taken")
+    return taken.unionByName(none).select("doc_id", *[F.col(n).alias(c) for n, c in zip(carry, names, strict=True)], "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
