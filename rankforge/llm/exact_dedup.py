@@ -56,6 +56,8 @@ class StreamingDedup:
         self.spark.conf.set(_STATE + "providerClass", _PROVIDER)
         # a batch writes what it changed; whole states now and then
         self.spark.conf.set(_STATE + "rocksdb.changelogCheckpointing.enabled", "true")
+        # many small stores: no files of megabytes set aside in each
+        self.spark.conf.set(_STATE + "rocksdb.allowFAllocate", "false")
         self.spark.conf.set(_STATE + "rocksdb.boundedMemoryUsage", "true")
         self.spark.conf.set(_STATE + "rocksdb.maxMemoryUsageMB", "256")
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
