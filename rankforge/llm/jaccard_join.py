@@ -211,10 +211,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialize(P.with_replies(pages, replies, _sets(n, percent, plan.buckets), SETS))
     release(spark)
     roots = connected(links(sets, percent, tile))
-    own = sets.select("doc_id", "n_shingles", "vertex").join(roots, F.col("vertex") == F.col("node"), "left").withColumn("root", F.coalesce("root", "vertex")).select("doc_id", "n_shingles", "root")
-    full = own.filter("root is not null")
-    least = full.groupBy(F.col("root").alias("l_root")).agg(F.min("doc_id").alias("component_id"))
-    return full.join(least, F.col("root") == F.col("l_root")).select("doc_id", "n_shingles", "component_id").unionByName(own.filter("root is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    # ids meet their set first, then their component, so that a hot set is aggregated before it is shuffled
+    least = sets.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"))
+    rooted = least.join(roots, F.col("vertex") == F.col("node"), "left").select("vertex", F.coalesce("root", "vertex").alias("root"), "least")
+    smallest = rooted.groupBy(F.col("root").alias("s_root")).agg(F.min("least").alias("component_id"))
+    component = rooted.join(smallest, F.col("root") == F.col("s_root")).select(F.col("vertex").alias("c_vertex"), "component_id")
+    full = sets.filter("vertex is not null").join(component, F.col("vertex") == F.col("c_vertex")).select("doc_id", "n_shingles", "component_id")
+    return full.unionByName(sets.filter("vertex is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
