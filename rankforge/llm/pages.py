@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ceil_div, mix, partitions, text_bytes
+from .common import ceil_div, mix, partitions, small_workers, text_bytes
 
-PAGE_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20
+PAGE_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
 BLOBS = "page int, bucket int, blob binary"
 _BLOB_SCHEMA = pa.schema([("page", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
@@ -32,6 +32,7 @@ class Plan:
     """How many pages and buckets a table gets; both grow with its bytes."""
 
     def __init__(self, docs: DataFrame, text_col: str = "text", page_bytes: int = PAGE_BYTES):
+        small_workers(docs.sparkSession)
         size, p = text_bytes(docs, text_col), partitions(docs.sparkSession)
         self.pages = max(3 * p, ceil_div(size, page_bytes))
         self.buckets = max(p, ceil_div(size, BUCKET_BYTES))
