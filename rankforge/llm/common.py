@@ -92,8 +92,8 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-#: Python workers give large freed arrays back to the system at once, instead of keeping them beside the JVM.
-_WORKER = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Python workers give freed memory back to the system early, instead of keeping it beside the JVM.
+_WORKER = {"MALLOC_MMAP_THRESHOLD_": "8388608", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def small_workers(spark: SparkSession) -> None:

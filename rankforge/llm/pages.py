@@ -34,7 +34,7 @@ class Plan:
     def __init__(self, docs: DataFrame, text_col: str = "text", page_bytes: int = PAGE_BYTES):
         small_workers(docs.sparkSession)
         size, p = text_bytes(docs, text_col), partitions(docs.sparkSession)
-        self.pages = max(3 * p, ceil_div(size, page_bytes))
+        self.pages = max(2 * p, ceil_div(size, page_bytes))
         self.buckets = max(p, ceil_div(size, BUCKET_BYTES))
 
 
