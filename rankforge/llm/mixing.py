@@ -1,9 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule (op 6).
 
 Sizes are words. Each source's documents, in the order of a hash of their ids, form a stream of tokens that is cut
-into equal blocks and passes at most ``CAP`` times. A schedule of ``SLOTS`` slots or fewer gives each slot to a source:
-slot n has the point ``frac(n * golden ratio)``, mapped through the cumulative targets, so that every stretch of slots
-holds each source in its share. A source's slots are ranked, and slot rank r takes block r of its stream.
+into equal blocks and passes at most ``CAP`` times. A source's blocks are as long as ``SLOTS`` of them for all targets
+together, but no longer than a part in ``FINE`` of its own target, so small sources have finer blocks; the last block ends
+where the target does. A schedule gives each slot to a source: slot n has the point ``frac(n * golden ratio)``, mapped
+through the cumulative numbers of blocks, so that every stretch of slots holds each source in its share. A source's
+slots are ranked, and slot rank r takes block r of its stream; points go on until every source has its number of blocks,
+so each is taken up to its target, rounded to words (one at least).
 
 The place of each document in its stream is a running sum in two steps, within hash ranges and over the ranges, so that
 a source with a third of all rows is no task of its own; ties in hash and id go by size.
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, materialize
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2
-SLOTS, CELLS = 1 << 18, 4096
+SLOTS, FINE, CELLS = 1 << 18, 64, 4096
 GOLDEN = 0.6180339887498949
 
 
@@ -49,22 +52,31 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return fits.withColumn("chosen", chosen).select("source", "source_size", F.coalesce(F.least("cap", F.col("chosen") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def schedule(spark: SparkSession, goal: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """slot, source, block, tokens: slot by slot the source, the block of its stream, and the block length."""
+def blocks(goal: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """goal with words, the target in whole words; tokens, the block length of the source; n, its number of blocks."""
     total = goal.agg(F.sum("target")).first()[0] or 0.0
     tokens = max(1, int(total // slots) + (total % slots > 0))
-    n = int(-(-total // tokens))
+    words = F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round("target"))).otherwise(0).cast("long")
+    own = goal.withColumn("words", words).withColumn("tokens", F.greatest(F.lit(1), F.least(F.lit(tokens), F.expr(f"words div {FINE}"))).cast("long"))
+    return own.withColumn("n", F.expr("(words + tokens - 1) div tokens"))
+
+
+def schedule(spark: SparkSession, goal: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """slot, source, block, tokens: slot by slot the source, the block of its stream, and the source's block length."""
+    goal = blocks(goal, slots)
+    n = goal.agg(F.sum("n")).first()[0] or 0
     whole = Window.orderBy(F.col("source").asc_nulls_last())
     by_name = whole.rowsBetween(Window.unboundedPreceding, 0)
-    own = goal.filter("target > 0").withColumn("high", F.sum("target").over(by_name) / F.lit(total or 1.0))
+    own = goal.filter("n > 0").withColumn("high", F.sum("n").over(by_name) / F.lit(float(n or 1)))
     own = own.withColumn("low", F.coalesce(F.lag("high").over(whole), F.lit(0.0))).withColumn("high", F.when(F.lead("high").over(whole).isNull(), 2.0).otherwise(F.col("high")))
     # a range join by cells: a source stands in all cells that its range touches
-    cells = own.select("source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
+    cells = own.select("source", "tokens", "n", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
     point = F.col("slot") * F.lit(GOLDEN) - F.floor(F.col("slot") * F.lit(GOLDEN))
-    slot = spark.range(0, n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("at", F.floor(F.col("point") * CELLS))
-    own = slot.join(cells, F.col("at") == F.col("cell")).filter("low <= point AND point < high").select("slot", "source")
+    # m golden-ratio points leave no gap over 1.9 / m, so of 2 n points each block's share of the line gets one
+    slot = spark.range(0, 2 * n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("at", F.floor(F.col("point") * CELLS))
+    own = slot.join(cells, F.col("at") == F.col("cell")).filter("low <= point AND point < high").select("slot", "source", "tokens", "n")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
-    return own.withColumn("block", rank.cast("long")).withColumn("tokens", F.lit(tokens).cast("long"))
+    return own.withColumn("block", rank.cast("long")).filter("block < n").select("slot", "source", "block", "tokens")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slots: int = SLOTS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -75,8 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = sizes(docs, carry=carry)
     goal = materialize(targets(sized, weights, share, cap))
     plan = schedule(spark, goal, slots)
-    total = goal.agg(F.sum("target")).first()[0] or 0.0
-    tokens = max(1, int(total // slots) + (total % slots > 0))
+    cut = blocks(goal, slots)
 
     def same(a: str, b: str):
         return F.col(a).eqNullSafe(F.col(b))
@@ -86,14 +97,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = sums.select(F.col("source").alias("s_source"), F.col("r").alias("s_r"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(F.col("r") >= 128, "r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "r").orderBy("h", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(start, same("source", "s_source") & same("r", "s_r")).withColumn("at", F.col("base") + F.col("in_range"))
-    placed = placed.join(goal.select(F.col("source").alias("g_source"), "source_size", "target"), same("source", "g_source"))
-    own = placed.select("doc_id", "source", "size", "source_size", "target", "at", *carry)
-    # parts of documents in blocks, over all passes of the stream
+    placed = placed.join(cut.select(F.col("source").alias("g_source"), "source_size", "target", "words", "tokens"), same("source", "g_source"))
+    own = placed.select("doc_id", "source", "size", "source_size", "target", "words", "tokens", "at", *carry)
+    # parts of documents in blocks, over all passes of the stream, up to the target; no block beyond it
     passes = F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))
     key = ["doc_id", "source", "size", "source_size", "target", "at", *carry]
-    spans = own.filter("size > 0").select(*key, passes.alias("pass")).withColumn("from", F.col("at") + F.col("pass") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
-    parts = spans.withColumn("block", F.explode(F.sequence(F.expr(f"`from` div {tokens}"), F.expr(f"(`to` - 1) div {tokens}"))))
-    length = F.least("to", (F.col("block") + 1) * tokens) - F.greatest("from", F.col("block") * tokens)
+    spans = own.filter("size > 0").select(*key, "words", "tokens", passes.alias("pass")).withColumn("from", F.col("at") + F.col("pass") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
+    held = spans.withColumn("to", F.least("to", "words"))
+    parts = held.withColumn("block", F.explode(F.when(F.col("from") < F.col("to"), F.expr("sequence(`from` div tokens, (`to` - 1) div tokens)")).otherwise(F.array(F.lit(None).cast("long")))))
+    length = F.least("to", (F.col("block") + 1) * F.col("tokens")) - F.greatest("from", F.col("block") * F.col("tokens"))
     parts = parts.withColumn("length", length)
     slot = plan.select(F.col("source").alias("p_source"), F.col("block").alias("p_block"))
     taken = parts.join(slot, same("source", "p_source") & (F.col("block") == F.col("p_block")), "left").groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("p_block").isNotNull(), F.col("length"))), F.lit(0)).alias("taken"))

@@ -262,6 +262,29 @@ def test_mixing(docs):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5), carry=("from",)).collect()), key=str)
 
 
+def test_mixing_small_beside_large(spark):
+    """Sources far smaller than a block of the schedule get their targets too."""
+    make = lambda n: " ".join(["w"] * n)
+    sizes = {"a": [1], "b": [4, 3], "c": [7] * 5, "d": [50] * 8, "e": [5000] * 80, "f": [3] * 30, None: [2]}
+    rows = [(f"{s}{i}", make(n), s) for s, own in sizes.items() for i, n in enumerate(own)]
+    docs = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    for weights in ((5.0, 2.0, 1.0), (0.001, 0.01, 0.00001, 0.002, 5.0)):
+        by = {}
+        for r in mixing.mix(docs, weights=weights, slots=64, carry=("source",)).collect():
+            assert 0 <= r.taken <= 2 * r.size
+            by.setdefault(r.source, []).append(r)
+        assert {s: len(x) for s, x in by.items()} == {s: len(x) for s, x in sizes.items()}
+        for s, own in by.items():
+            assert sum(r.taken for r in own) == max(1, int(own[0].target + 0.5)), s
+    plan = mixing.schedule(spark, mixing.targets(mixing.sizes(docs)), slots=64).collect()
+    assert len({r.slot for r in plan}) == len(plan)
+    for s in sizes:
+        assert sorted(r.block for r in plan if r.source == s) == list(range(sum(r.source == s for r in plan)))
+    kept = mixing.mixed(docs).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in kept if r.source in ("a", "b", "f")} == {"a": 2, "b": 4, "f": 60}
+
+
+
 def test_bpe_against_tiktoken(docs):
     import base64
 
