@@ -125,6 +125,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+def query_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with trigrams, so that the back-off goes through two steps."""
+    return score(documents(spark, sf_dir), order=3).withColumn("score", F.round("score", 6))
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p, unnest(list_prepend(NULL, w[:-2])) AS before FROM d WHERE len(w) > 0),
@@ -133,3 +138,13 @@ s AS (SELECT doc_id, CASE WHEN p = 0 THEN ln(one.c / n) WHEN two.c >= 2 THEN ln(
   FROM word JOIN one ON word.x = one.x LEFT JOIN one ctx ON word.before = ctx.x LEFT JOIN two ON word.before = two.before AND word.x = two.x, n)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, round(coalesce(v, 0.0), 6) AS score FROM d LEFT JOIN (SELECT doc_id, avg(v) AS v FROM s GROUP BY doc_id) s ON d.doc_id = s.doc_id
 """
+
+SQL_ORDER3 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p, unnest(list_prepend(NULL, w)[:len(w)]) AS before, unnest(list_prepend(NULL, list_prepend(NULL, w))[:len(w)]) AS before2 FROM d WHERE len(w) > 0),
+one AS (SELECT x, count(*) AS c FROM word GROUP BY x), two AS (SELECT before, x, count(*) AS c FROM word WHERE p > 0 GROUP BY ALL), three AS (SELECT before2, before, x, count(*) AS c FROM word WHERE p > 1 GROUP BY ALL), n AS (SELECT sum(c) AS n FROM one),
+s AS (SELECT doc_id, CASE WHEN p = 0 THEN ln(one.c / n) WHEN three.c >= 2 THEN ln(three.c / ctx2.c) WHEN two.c >= 2 THEN ln(two.c / ctx.c) + (least(p, 2) - 1) * ln(0.4) ELSE ln(one.c / n) + least(p, 2) * ln(0.4) END AS v
+  FROM word JOIN one ON word.x = one.x LEFT JOIN one ctx ON word.before = ctx.x LEFT JOIN two ON word.before = two.before AND word.x = two.x
+  LEFT JOIN two ctx2 ON word.before2 = ctx2.before AND word.before = ctx2.x LEFT JOIN three ON word.before2 = three.before2 AND word.before = three.before AND word.x = three.x, n)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, round(coalesce(v, 0.0), 6) AS score FROM d LEFT JOIN (SELECT doc_id, avg(v) AS v FROM s GROUP BY doc_id) s ON d.doc_id = s.doc_id
+"""

@@ -179,6 +179,22 @@ def test_lm_scores(docs, order):
         assert got[d].n_words == len(w) and got[d].score == pytest.approx(s / len(w) if w else 0.0), d
 
 
+def test_lm_query_of_order_3(spark, docs, tmp_path):
+    """The query of order 3 against its SQL; trigrams and back-off by two steps count."""
+    duckdb = pytest.importorskip("duckdb")
+    from rankforge.llm import registry
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_words, r.score) for r in registry.queries()["op5_lm_scoring_order3"](spark, str(tmp_path)).collect()}
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {d: (n, s) for d, n, s in own.execute(registry.oracle_sql()["op5_lm_scoring_order3"]).fetchall()}
+    assert got.keys() == want.keys()
+    assert all(got[d][0] == n and got[d][1] == pytest.approx(s, abs=2e-6) for d, (n, s) in want.items())
+    two = {r.doc_id: r.score for r in registry.queries()["op5_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert any(abs(got[d][1] - two[d]) > 0.01 for d in two)
+
+
 def components(sets, percent):
     parent = {d: d for d in sets}
 
