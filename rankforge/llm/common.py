@@ -133,6 +133,9 @@ _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
+#: For a second fingerprint that shares nothing with the first.
+_R = np.uint64(0xA24BAED4963EE407)
+_OTHER = np.random.default_rng(20240301).integers(0, 2**64, 256, dtype=np.uint64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -180,11 +183,14 @@ STEP = 1 << 20
 class Words:
     """Words of a batch of texts: 64-bit hashes in order, and where each text's words begin."""
 
-    def __init__(self, column, lower: bool = False, space: np.ndarray = _IS_SPACE, heads: tuple[int, ...] = ()):
-        """space: which bytes stand between words. heads: also hash the first so many bytes of longer words (0: not longer)."""
+    def __init__(self, column, lower: bool = False, space: np.ndarray = _IS_SPACE, heads: tuple[int, ...] = (), twice: bool = False):
+        """space: which bytes stand between words. heads: also hash the first so many bytes of longer words (0: not longer).
+
+        twice: hash words (as they are, not lower-cased) a second time, by other numbers for bytes and their places.
+        """
         buf, off = strings(column)
         table = _LOWER if lower else _BYTE
-        hashes, starts, at = [], [], 0
+        hashes, others, starts, at = [], [], [], 0
         tops: list[list[np.ndarray]] = [[] for _ in heads]
         first = np.zeros(len(buf) + 1, bool)
         first[off] = True
@@ -203,9 +209,14 @@ class Words:
             hashes.append(span_hash(prefix, s, e))
             for k, own in zip(heads, tops, strict=True):
                 own.append(np.where(e - s > k, span_hash(prefix, s, np.minimum(s + k, e)) + np.uint64(k), np.uint64(0)))
+            if twice and len(s):
+                first_byte = np.cumsum(e - s) - (e - s)
+                place = (np.arange(int((e - s).sum())) - np.repeat(first_byte, e - s)).astype(np.uint64)
+                others.append(mix(np.add.reduceat(mix(_OTHER[part[inside]] + place * _R), first_byte)))
             starts.append(s + at)
             at = end
         self.hash = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.other = np.concatenate(others) if others else np.empty(0, np.uint64)
         self.heads = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in tops]
         start = np.concatenate(starts) if starts else np.empty(0, np.int64)
         #: word i belongs to text d for off[d] <= i < off[d + 1]
@@ -224,6 +235,10 @@ class Words:
         prefix = prefix_hash(self.hash, _Q)
         return starts, span_hash(prefix, starts, starts + k, _Q)
 
+    def second_windows(self, starts: np.ndarray, k: int) -> np.ndarray:
+        """Second hashes of the k-word windows at starts; only of words hashed twice."""
+        return span_hash(prefix_hash(self.other, _R), starts, starts + k, _R)
+
 
 def window_starts(off: np.ndarray, k: int) -> np.ndarray:
     n = int(off[-1])

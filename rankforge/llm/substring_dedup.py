@@ -1,13 +1,14 @@
 """Substring dedup with a log-structured fingerprint index (op 9).
 
-The index is a list of immutable runs: per key bucket, the sorted distinct hashes of all ``window``-word
+The index is a list of immutable runs: per key bucket, the sorted distinct fingerprints of all ``window``-word
 windows of the texts taken in so far. A new batch is one exchange: pages ask for their distinct windows, and
 each bucket merges the sorted asks with the sorted runs. A window repeats an earlier one if a run holds it, or
-if a document with a smaller id in the batch does. The batch's own hashes become the next run; once there are
+if a document with a smaller id in the batch does. The batch's own fingerprints become the next run; once there are
 more than ``fanout`` runs they are compacted into one.
 
-A hit is verified by a second, independent hash: it picks the bucket, so keys agree in 64 bits and the bucket,
-whose number grows with the data.
+A hit is verified by a second hash, of 32 bits: it comes from the words' bytes by other numbers and another rule than the
+64-bit key, goes with it in asks and runs, and windows are equal only if both agree. Words themselves are not compared;
+of n different windows n * n / 2**97 pairs are expected to agree, 2e-10 of 5e9 (30 GB).
 
 Cases. Null and empty texts, and texts shorter than a window, lose nothing. Rows of equal id count in the order
 of their texts; a null id sorts first. Batches must come in the order of ids: ``dedup`` cuts by id quantiles.
@@ -29,31 +30,56 @@ from .common import SPACE, Words, covered, documents, materialize, release, stri
 
 WINDOW, BATCHES, FANOUT = 20, 3, 4
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-_ASK = np.dtype([("key", "<u8"), ("id", "<i8")])
+_ASK = np.dtype([("key", "<u8"), ("other", "<u4"), ("id", "<i8")])
+
+
+def _grouped(key: np.ndarray, other: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order by key, other and then the rest, and where in it a new pair of key and other begins."""
+    for by in ((*then, key), (*then, other, key)):  # keys that clash are rare: the second only where there are any
+        order = np.lexsort(by)
+        new_key = key[order[1:]] != key[order[:-1]]
+        new = new_key | (other[order[1:]] != other[order[:-1]])
+        if (new == new_key).all():
+            break
+    return order, np.concatenate([np.ones(min(1, len(key)), bool), new])
 
 
 def _windows(text: pa.Array, window: int, buckets: int):
-    """Words, window starts, first start of each distinct window, its key, its bucket, and each window's number."""
-    words = Words(text)
+    """Words, window starts, first start of each distinct window, its key, second hash and bucket, and each window's number."""
+    words = Words(text, twice=True)
     starts, key = words.windows(window)
-    own, first, which = np.unique(key, return_index=True, return_inverse=True)
-    by_place = np.argsort(first)  # np.unique gives first places; ask in their order
-    rank = np.empty(len(own), np.int64)
-    rank[by_place] = np.arange(len(own))
-    key = own[by_place]
-    return words, starts, first[by_place], key, P.bucket_of(P.second(key), buckets), rank[which]
+    other = (words.second_windows(starts, window) >> np.uint64(32)).astype(np.uint32)
+    order, head = _grouped(key, other)
+    first, which = order[head], np.empty(len(key), np.int64)
+    which[order] = np.cumsum(head) - 1
+    by_place = np.argsort(first)  # groups come by key; ask in the order of first places
+    rank = np.empty(len(first), np.int64)
+    rank[by_place] = np.arange(len(first))
+    first = first[by_place]
+    return words, starts, first, key[first], other[first], P.bucket_of(P.second(key[first]), buckets), rank[which]
+
+
+def _planes(blob: bytes, back: bool = False) -> bytes:
+    """Asks with the planes of their bytes apart, or back: ids stand in order, so that their planes compress well."""
+    rows = np.frombuffer(blob, np.uint8)
+    return (rows.reshape(_ASK.itemsize, -1) if back else rows.reshape(-1, _ASK.itemsize)).T.tobytes()
+
+
+def _with_blobs(table: pa.Table, blobs: list[bytes]) -> pa.Table:
+    return table.set_column(table.schema.get_field_index("blob"), "blob", pa.array(blobs, pa.binary()))
 
 
 def _ask(window: int, buckets: int):
     def f(table: pa.Table) -> pa.Table:
         ids, text = P.load(table)
-        words, starts, first, key, bucket, _ = _windows(text, window, buckets)
+        words, starts, first, key, other, bucket, _ = _windows(text, window, buckets)
         if not len(key):
             return P.nothing()
         rows = np.empty(len(key), _ASK)
-        rows["key"] = key
+        rows["key"], rows["other"] = key, other
         rows["id"] = P.id_order(ids)[np.searchsorted(words.off, starts[first], "right") - 1]
-        return P.blobs(table.column("page")[0].as_py(), bucket, rows)
+        out = P.blobs(table.column("page")[0].as_py(), bucket, rows)
+        return _with_blobs(out, [_planes(b) for b in out.column("blob").to_pylist()])
 
     return f
 
@@ -69,38 +95,54 @@ def unpack_run(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def pack_pairs(keys: np.ndarray, others: np.ndarray) -> bytes:
+    """A run of keys sorted with their second hashes; a key may stand in it with several."""
+    return pack_run(keys) + others.astype("<u4").tobytes()
+
+
+def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 12
+    return unpack_run(blob[: 8 * n]), np.frombuffer(blob, "<u4", offset=8 * n)
+
+
+def _held(run: tuple[np.ndarray, np.ndarray], key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which pairs the run holds."""
+    keys, others = run
+    at, hit, live = np.searchsorted(keys, key), np.zeros(len(key), bool), np.arange(len(key))
+    while len(live):  # on to the next entry of the same key
+        live = live[at[live] < len(keys)]
+        live = live[keys[at[live]] == key[live]]
+        hit[live] |= others[at[live]] == other[live]
+        at[live] += 1
+    return hit
+
+
 def _resolve(asks: pa.Table, runs: pa.Table | None) -> pa.Table:
     """Replies of one bucket, then its new run (page -1)."""
     if not asks.num_rows:
         return P.nothing()
-    page, counts, rows = P.asked(asks, _ASK)
+    page, counts, rows = P.asked(_with_blobs(asks, [_planes(b, back=True) for b in asks.column("blob").to_pylist()]), _ASK)
     bucket = asks.column("bucket")[0].as_py()
-    order = np.lexsort((rows["id"], rows["key"]))
-    key, ids = rows["key"][order], rows["id"][order]
-    head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
-    own = key[head]
-    earliest = ids[head][np.cumsum(head) - 1]
-    repeated = ids > earliest
+    order, head = _grouped(rows["key"], rows["other"], rows["id"])
+    key, other, ids = rows["key"][order][head], rows["other"][order][head], rows["id"][order]
+    group = np.cumsum(head) - 1
+    repeated = ids > ids[head][group]
     for blob in runs.column("blob").to_pylist() if runs is not None else ():
-        run = unpack_run(blob)
-        at = np.searchsorted(run, own)
-        hit = np.zeros(len(own), bool)
-        ok = at < len(run)
-        hit[ok] = run[at[ok]] == own[ok]
-        repeated |= hit[np.cumsum(head) - 1]
-    flags = np.empty(len(key), bool)
+        repeated |= _held(unpack_pairs(blob), key, other)[group]
+    flags = np.empty(len(order), bool)
     flags[order] = repeated
     out, a = [], 0
     for p, n in zip(page, counts, strict=True):
         out.append((p, bucket, np.packbits(flags[a : a + n]).tobytes()))
         a += n
-    return P.pack([*out, (-1, bucket, pack_run(own))])
+    return P.pack([*out, (-1, bucket, pack_pairs(key, other))])
 
 
 def _compact(table: pa.Table) -> pa.Table:
-    runs = [unpack_run(b) for b in table.column("blob").to_pylist()]
-    return P.pack([(-1, table.column("bucket")[0].as_py(), pack_run(np.unique(np.concatenate(runs))))])
+    key, other = (np.concatenate(x) for x in zip(*(unpack_pairs(b) for b in table.column("blob").to_pylist()), strict=True))
+    order, head = _grouped(key, other)
+    at = order[head]
+    return P.pack([(-1, table.column("bucket")[0].as_py(), pack_pairs(key[at], other[at]))])
 
 
 class FingerprintIndex:
@@ -136,7 +178,7 @@ class FingerprintIndex:
 def _finish(window: int, buckets: int, with_text: bool):
     def f(table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, text = P.load(table)
-        words, starts, first, _, bucket, which = _windows(text, window, buckets)
+        words, starts, first, _, _, bucket, which = _windows(text, window, buckets)
         flag = np.ones(len(starts), bool)  # in a page, all but the first of equal windows
         flag[first] = P.in_order(bucket, replies, bool, bits=True)
         gone = covered(starts[flag], window, int(words.off[-1]))

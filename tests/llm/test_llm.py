@@ -154,6 +154,22 @@ def test_substring_dedup(docs, spark):
         assert got == want, batches
 
 
+def test_substring_dedup_verifies_hits(spark):
+    """Two words that agree in the first hash, whatever its base (Thue-Morse strings), and in nothing else."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate({97: "b", 98: "a"})
+    two = one.translate({97: "b", 98: "a"})
+    both = common.Words(pa.array([one, two]), twice=True)
+    assert both.hash[0] == both.hash[1] and both.other[0] != both.other[1]
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = [(0, f"{head} {one}"), (1, f"{head} {two}"), (2, f"{head} {one} x{' y' * 5} {head} {two}"), (3, f"{head} z {two}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for batches, fanout in ((1, 4), (2, 4), (4, 1)):
+        got = {r.doc_id: r.n_removed for r in substring_dedup.dedup(docs, batches=batches, fanout=fanout).collect()}
+        assert got == {0: 0, 1: 0, 2: 40, 3: 0}, batches
+
+
 def test_runs():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
     assert (substring_dedup.unpack_run(substring_dedup.pack_run(keys)) == keys).all()
