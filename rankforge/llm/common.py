@@ -7,15 +7,15 @@ exactly these. A null text counts as an empty one everywhere in this package.
 from __future__ import annotations
 
 import atexit
-import gc
 import math
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java and DuckDB pattern of a word, and of what parts words.
@@ -30,15 +30,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Only a local master, as in tests, may do without one being set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that is run in here go once it has ended, as what it wrote is all that is read later."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -46,8 +62,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     keep_aside(spark, path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,15 +98,43 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now; it does so when it collects garbage.
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+#: Parts that the rows of a hot key are dealt to.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, few: DataFrame, on: tuple[str, ...], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """rows joined to few (at most a row for each key of ``on``, named alike in both), every key's rows dealt to ``salts`` tasks by a hash of ``spread``.
 
-    Twice: what the first collection finalizes still holds on to the shuffles.
+    For keys that may hold a third of all rows; few is repeated ``salts`` times. A null key matches nothing.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    own = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return own.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"], how).drop("_salt")
+
+
+def text_md5(text) -> Column:
+    """Of the text as it stands; null counts as empty."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def one_row_each(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with its columns, whose id and text are those of a row of chosen: doc_id, md5, n.
+
+    n: rows of docs that are alike in both; one of them is returned. Each pair of doc_id and md5 is in chosen once at most.
+    """
+    columns, names = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]  # free of clashes
+    key = lambda i, md5: F.concat(F.coalesce(i.cast("long").cast("string"), F.lit("")), F.lit(":"), md5)
+    own = docs.toDF(*names)
+    own = own.withColumns({"_key": key(F.col(names[columns.index(id_col)]), text_md5(F.col(names[columns.index(text_col)]))), "_part": F.spark_partition_id()})
+    chosen = materialize(chosen.select(key(F.col("doc_id"), F.col("md5")).alias("_key"), F.col("n").alias("_n")))
+    hit = salted_join(own, chosen, ("_key",), "_part")
+    if not chosen.filter("_n > 1").isEmpty():  # rows alike meet after a first aggregation in place
+        hit = hit.filter("_n = 1").unionByName(hit.filter("_n > 1").dropDuplicates(["_key"]))
+    return hit.select(*names).toDF(*columns)
 
 
 #: Python workers give freed memory back to the system early, instead of keeping it beside the JVM.
@@ -109,6 +154,13 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
+def source_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of the files that docs come from, as the planner knows them without reading any; where it doesn't, of the texts."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 60 else text_bytes(docs, text_col)
+
+
 # --------------------------------------------------------------------------- arrow
 def strings(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts end to end, and the offset of each text; null is empty."""

@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import salted_join, shared_dir
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges: a, b (long). Returns node, root for every node that is not its component's smallest.
+def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """edges: a, b (of any type with an order). Returns node, root for every node that is not its component's smallest.
 
     A large star links a node's greater neighbours to the smallest of all; a small star its smaller neighbours and
-    itself. Both keep components, and when nothing changes each component is a star around its smallest node.
+    itself. Both keep components, and when nothing changes each component is a star around its smallest node. The
+    number of rounds grows with the logarithm of a component's size; raises if ``rounds`` are not enough. Joins on a
+    star's centre are salted, as a component may hold a third of all nodes.
     """
     shared_dir(edges.sparkSession)
     at = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    settled = at.isEmpty()
     before = None
     for _ in range(rounds):
+        if settled:
+            return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).withColumn("m", F.least("x", "m"))
-        large = both.filter("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
-        small = large.join(low, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = salted_join(both.filter("v > u"), low, ("u",), "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = salted_join(large, low, ("u",), "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         at = small.checkpoint()
         state = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        settled, before = state == before, state
+    raise RuntimeError(f"components have not settled in {rounds} rounds")
