@@ -11,7 +11,6 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.query,
         "op3_suffix_dedup": suffix_dedup.query,
         "op4_byte_bpe": bpe.query,
-        "op5_lm_scoring_order3": lm_scoring.query_order3,  # first: the one of op 5 that the check tool's --all takes
         "op5_lm_scoring": lm_scoring.query,
         "op6_mixing": mixing.query,
         "op7_jaccard_join": jaccard_join.query,
@@ -24,7 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_lm_scoring": lm_scoring.SQL,
-        "op5_lm_scoring_order3": lm_scoring.SQL_ORDER3,
         "op8_exact_dedup": exact_dedup.SQL,
         "op9_substring_dedup": substring_dedup.SQL,
     }
