@@ -1,17 +1,20 @@
 """Suffix dedup by a depth-limited radix sort (op 3): bytes covered by a 200-byte string found elsewhere.
 
-Suffixes are told apart by most-significant-digit passes, only through ``threshold`` bytes, and a pass carries
-on only the groups that the one before left with more than one member. Sorting every suffix of every byte would
-move many times the input, so suffixes enter at content-chosen places: among the ``ANCHOR``-byte strings of a
-window, the one with the least hash. Equal windows choose the same place at the same distance, so nothing that
-repeats is missed.
-
-* Pass 1, digit: the anchor string. Windows in a row that share an anchor form a span; anchors met once end here.
-* Pass 2, digit: the bytes of the whole span. Equal spans are repeated windows throughout.
-* Pass 3, digit: single windows, only for spans whose anchor also has other spans (edges of passages, edits);
-  equal groups are the repeated windows.
-
-Digits are compared by 64-bit hashes (anchor and span together 128 bits with the bucket).
+Suffixes are ordered only through ``threshold`` bytes, by most-significant-digit passes; a pass carries on only the
+groups that the one before left with more than one member, and the groups left after the last digit are exactly the
+repeated windows. Every byte begins a suffix, and sending each with its digits would move hundreds of times the input,
+so the first digit is chosen by content, such that few suffixes get beyond it:
+
+* First digit, over all pages: the *anchor*, of the ``ANCHOR``-byte strings of a window the one with the least hash.
+  Equal windows have the same anchor at the same distance. Neighbouring windows that share one form a *span*;
+  spans whose anchor occurs once end here, and equal spans (all their windows repeat) are settled here too.
+* Further digits: spans whose anchor also has other spans (edges of passages, edits) are sent with their bytes to the
+  anchor's bucket, where their suffixes are sorted: by distance from the anchor, then eight bytes at a time through
+  the threshold (``radix_groups``). Bytes decide, not hashes.
+* An anchor with more than ``SPLIT`` different spans is no bucket's work: its windows are sent one by one, dealt by a
+  hash of all their bytes, and sorted there in the same way.
+
+Equal spans are found by 64-bit hashes, compared within an anchor only.
 
 Cases. Null and short texts lose nothing. Rows of equal id are documents of their own. Texts are whole UTF-8
 bytes, cut anywhere by a removal; an empty table gives an empty result; other columns are not read.
@@ -29,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import pages as P
 from .common import _BYTE, covered, documents, prefix_hash, span_hash, strings
 
-THRESHOLD, ANCHOR = 200, 64
-#: Bytes of a text worked on at once.
-PIECE = 1 << 19
+THRESHOLD, ANCHOR, SPLIT = 200, 64, 1024
+#: Bytes of a text worked on at once; suffixes sorted at once.
+PIECE, SUFFIXES = 1 << 19, 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-_SPAN = np.dtype([("anchor", "<u8"), ("span", "<u8")])
 _LOW = np.uint64((1 << 22) - 1)
-NONE, WHOLE, WHOLE_AND_TELL, TELL = range(4)
+#: Answers on a span, as bits: all its windows repeat; its windows are to be told apart; one by one.
+WHOLE, TELL, APART = 1, 2, 4
 
 
 def _pieces(off: np.ndarray, threshold: int):
@@ -57,16 +60,17 @@ def _pieces(off: np.ndarray, threshold: int):
 
 
 class Spans:
-    """Spans of a page: first and last window (byte places in the page), hashes of anchor and span; hashes of windows on demand."""
+    """Spans of a page: first and last window (byte places in the page), anchor's place, hashes of anchor and span."""
 
     def __init__(self, text: pa.Array, threshold: int, anchor: int):
         self.buf, self.off = strings(text)
         self.threshold = threshold
         out = [self._piece(a, b, own, threshold, anchor) for a, b, own in _pieces(self.off, threshold)]
-        self.first, self.last, self.anchor, self.span = (np.concatenate([x[i] for x in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.uint64, np.uint64)))
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+        self.first, self.last, self.place, self.anchor, self.span = (np.concatenate([x[i] for x in out]) if out else np.empty(0, t) for i, t in enumerate(kinds))
 
     def _piece(self, a: int, b: int, own: np.ndarray, threshold: int, anchor: int):
-        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        none = *(np.empty(0, np.int64),) * 3, *(np.empty(0, np.uint64),) * 2
         n = b - a
         if n < threshold:
             return none
@@ -95,98 +99,148 @@ class Spans:
         p = place[first]
         # the span's hash also holds where in it the anchor lies
         whole = span_hash(prefix, first, last + threshold) + (p - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return first + a, last + a, span_hash(prefix, p, p + anchor), whole
-
-    def windows(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of all windows of the chosen spans."""
-        places, hashes = [], []
-        first, last = self.first[spans], self.last[spans]
-        i = 0
-        while i < len(first):  # neighbours are hashed together
-            j = i + 1
-            while j < len(first) and first[j] - last[j - 1] < 4 * self.threshold and last[j] - first[i] < PIECE:
-                j += 1
-            a, b = int(first[i]), int(last[j - 1]) + self.threshold
-            at = np.concatenate([np.arange(x, y + 1) for x, y in zip(first[i:j], last[i:j], strict=True)])
-            places.append(at)
-            hashes.append(span_hash(prefix_hash(_BYTE[self.buf[a:b]]), at - a, at - a + self.threshold))
-            i = j
-        return (np.concatenate(places), np.concatenate(hashes)) if places else (np.empty(0, np.int64), np.empty(0, np.uint64))
-
-
-def _distinct(rows: np.ndarray):
-    """Distinct rows in sorted order, the number of each row, how often each occurs."""
-    return np.unique(rows, return_inverse=True, return_counts=True)
-
-
-def _span_keys(s: Spans, buckets: int):
-    rows = np.empty(len(s.first), _SPAN)
-    rows["anchor"], rows["span"] = s.anchor, s.span & ~np.uint64(1)
-    # distinct pairs, by way of one number for each
-    _, at, which, count = np.unique(P.mix(s.anchor ^ P.mix(rows["span"])), return_index=True, return_inverse=True, return_counts=True)
-    own = rows[at]
-    own["span"] |= (count > 1).astype(np.uint64)  # the last bit: twice or more in this page
-    return own, P.bucket_of(P.second(own["anchor"]), buckets), which
+        return first + a, last + a, p + a, span_hash(prefix, p, p + anchor), whole
+
+
+def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Groups of two and more numbers of suffixes, of equal ``group``, that agree in their first ``depth`` bytes.
+
+    Most-significant-digit passes of up to eight bytes: each orders what is left by group and digit, and drops the suffixes
+    that stand alone. at: where in data each suffix begins.
+    """
+    number, d = np.arange(len(at)), 0
+    while len(number):
+        step = min(8, depth - d)
+        digit = np.zeros(len(number), np.uint64)
+        if d < depth:
+            for k in range(step):
+                digit = (digit << np.uint64(8)) | data[at[number] + (d + k)]
+        order = np.lexsort((digit, group))
+        number, group, digit = number[order], group[order], digit[order]
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])])
+        own = np.cumsum(new) - 1
+        many = np.bincount(own)[own] > 1
+        number, group, d = number[many], own[many], d + step
+        if d >= depth:
+            break
+    return np.split(number, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(number) else []
+
+
+def _span_keys(s: Spans):
+    """Distinct pairs of anchor and span in the order of anchors: first span with each, whether it occurs twice or more here, the number of each span's pair."""
+    order = np.lexsort((s.span, s.anchor))
+    a, b = s.anchor[order], s.span[order]
+    head = np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(head) - 1
+    return order[head], np.bincount(which, minlength=int(head.sum())) > 1, which
 
 
 def _ask_spans(threshold: int, anchor: int, buckets: int):
     def f(table: pa.Table) -> pa.Table:
-        own, bucket, _ = _span_keys(Spans(P.load(table)[1], threshold, anchor), buckets)
-        return P.blobs(table.column("page")[0].as_py(), bucket, own) if len(own) else P.nothing()
+        s = Spans(P.load(table)[1], threshold, anchor)
+        at, twice, _ = _span_keys(s)
+        page, key, span = table.column("page")[0].as_py(), s.anchor[at], s.span[at]
+        return P.pack([(page, b, P.squeeze((y - x).to_bytes(8, "little") + P.steps(key[x:y]) + P.planes(span[x:y]) + np.packbits(twice[x:y]).tobytes())) for b, x, y in P.slices(P.bucket_of(key, buckets))])
+
+    return f
+
+
+def _answer_spans(split: int):
+    def f(table: pa.Table) -> pa.Table:
+        """For each span asked: WHOLE, TELL, APART."""
+        pages, bucket, parts = [], table.column("bucket")[0].as_py(), []
+        for page, raw in P.asked(table):
+            n = int.from_bytes(raw[:8], "little")
+            pages.append((page, n))
+            parts.append((P.unsteps(raw[8 : 8 + 8 * n]), P.unplanes(raw[8 + 8 * n : 8 + 16 * n], "<u8"), np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 + 16 * n), count=n)))
+        anchor, span, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((span, anchor))
+        a, s = anchor[order], span[order]
+        new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
+        new_span = new_anchor.copy()
+        new_span[1:] |= s[1:] != s[:-1]
+        group, kind = np.cumsum(new_anchor) - 1, np.cumsum(new_span) - 1
+        many = (np.bincount(kind) > 1) | (np.bincount(kind, weights=twice[order]) > 0)
+        kinds = np.bincount(group, weights=new_span)[group]
+        # of equal spans of an anchor that has others too, the first is told apart, for all of them
+        code = np.where(many[kind], WHOLE, 0) | np.where((kinds > 1) & new_span, TELL, 0) | np.where(kinds > split, APART, 0)
+        out = np.empty(len(code), np.uint8)
+        out[order] = code
+        at = np.cumsum([0, *(n for _, n in pages)])
+        return P.pack([(p, bucket, P.squeeze(out[x:y].tobytes())) for (p, _), x, y in zip(pages, at[:-1], at[1:], strict=True)])
 
     return f
 
 
-def _answer_spans(table: pa.Table) -> pa.Table:
-    """For each span asked: whether all its windows repeat, and whether its windows are to be told apart in pass 3."""
-    page, counts, rows = P.asked(table, _SPAN)
-    bucket = table.column("bucket")[0].as_py()
-    twice, span = (rows["span"] & np.uint64(1)).astype(bool), rows["span"] & ~np.uint64(1)
-    order = np.lexsort((np.repeat(page, counts), span, rows["anchor"]))
-    a, s = rows["anchor"][order], span[order]
-    new_anchor = np.ones(len(a), bool)
-    new_anchor[1:] = a[1:] != a[:-1]
-    new_span = new_anchor.copy()
-    new_span[1:] |= s[1:] != s[:-1]
-    group, kind = np.cumsum(new_anchor) - 1, np.cumsum(new_span) - 1
-    many = np.bincount(kind) > 1
-    many |= np.bincount(kind, weights=twice[order]) > 0
-    kinds = np.bincount(group, weights=new_span)[group] > 1
-    code = np.where(many[kind], np.where(kinds & new_span, WHOLE_AND_TELL, WHOLE), np.where(kinds, TELL, NONE)).astype(np.uint8)
-    out = np.empty(len(code), np.uint8)
-    out[order] = code
-    at = np.cumsum([0, *counts])
-    return P.pack([(p, bucket, out[x:y].tobytes()) for p, x, y in zip(page, at[:-1], at[1:], strict=True)])
-
-
-def _window_keys(s: Spans, replies: pa.Table, buckets: int):
-    """Codes of all spans, then of the spans to tell apart: windows' places, distinct keys, buckets, each window's number."""
-    own, bucket, which = _span_keys(s, buckets)
-    code = P.in_order(bucket, replies, np.uint8)[which]
-    # of equal spans with WHOLE_AND_TELL in a page, any one tells; all do, and distinct keys are sent
-    place, key = s.windows(np.flatnonzero(code >= WHOLE_AND_TELL))
-    keys, number, count = _distinct(key & ~np.uint64(1))
-    sent = keys | (count > 1).astype(np.uint64)
-    return code, place, sent, P.bucket_of(P.second(keys), buckets), number
+def _told(s: Spans, replies: pa.Table, buckets: int):
+    """Code of each span; what is told apart, in the order of keys: key, first window, number of windows, distance of the anchor, whether it is WHOLE."""
+    at, _, which = _span_keys(s)
+    code = P.in_order(P.bucket_of(s.anchor[at], buckets), replies, np.uint8)
+    own, single = at[(code & TELL > 0) & (code & APART == 0)], at[(code & TELL > 0) & (code & APART > 0)]
+    whole = np.zeros(len(s.first), bool)
+    whole[at] = code & WHOLE > 0
+    n = s.last[single] - s.first[single] + 1
+    first = np.repeat(s.first[single], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    by = [span_hash(prefix_hash(_BYTE[s.buf[a : b + s.threshold]]), np.arange(b - a + 1), np.arange(b - a + 1) + s.threshold) for a, b in zip(s.first[single], s.last[single], strict=True)]
+    key = np.concatenate([s.anchor[own], *by])
+    firsts, counts = np.concatenate([s.first[own], first]), np.concatenate([s.last[own] - s.first[own] + 1, np.ones(len(first), np.int64)])
+    far, is_whole = np.concatenate([s.place[own], np.repeat(s.place[single], n)]) - firsts, np.concatenate([whole[own], np.repeat(whole[single], n)])
+    order = np.argsort(key, kind="stable")
+    return code[which] if len(code) else np.empty(0, np.uint8), key[order], firsts[order], counts[order], far[order], is_whole[order]
 
 
 def _ask_windows(threshold: int, anchor: int, buckets: int):
     def f(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return P.nothing()
-        _, _, sent, bucket, _ = _window_keys(Spans(P.load(table)[1], threshold, anchor), replies, buckets)
-        return P.blobs(table.column("page")[0].as_py(), bucket, sent) if len(sent) else P.nothing()
+        s = Spans(P.load(table)[1], threshold, anchor)
+        _, key, first, count, far, whole = _told(s, replies, buckets)
+        page, rows = table.column("page")[0].as_py(), []
+        for b, x, y in P.slices(P.bucket_of(key, buckets)):
+            bytes_ = b"".join(s.buf[i : i + n + threshold - 1].tobytes() for i, n in zip(first[x:y].tolist(), count[x:y].tolist(), strict=True))
+            rows.append((page, b, P.squeeze((y - x).to_bytes(8, "little") + P.steps(key[x:y]) + P.planes(count[x:y].astype("<u4")) + P.planes(far[x:y].astype("<u4")) + np.packbits(whole[x:y]).tobytes() + bytes_, 3)))
+        return P.pack(rows)
 
     return f
 
 
-def _answer_windows(table: pa.Table) -> pa.Table:
-    page, counts, rows = P.asked(table, np.dtype("<u8"))
-    _, which, count = np.unique(rows & ~np.uint64(1), return_inverse=True, return_counts=True)
-    flags = (count > 1) | (np.bincount(which, weights=(rows & np.uint64(1)).astype(float)) > 0)
-    flags = flags[which]
-    at, bucket = np.cumsum([0, *counts]), table.column("bucket")[0].as_py()
-    return P.pack([(p, bucket, np.packbits(flags[x:y]).tobytes()) for p, x, y in zip(page, at[:-1], at[1:], strict=True)])
+def _answer_windows(threshold: int):
+    def f(table: pa.Table) -> pa.Table:
+        """For each window told apart, in the order asked: whether it repeats."""
+        pages, bucket, parts = [], table.column("bucket")[0].as_py(), []
+        for page, raw in P.asked(table):
+            n = int.from_bytes(raw[:8], "little")
+            key, count, far = P.unsteps(raw[8 : 8 + 8 * n]), P.unplanes(raw[8 + 8 * n : 8 + 12 * n], "<u4").astype(np.int64), P.unplanes(raw[8 + 12 * n : 8 + 16 * n], "<u4").astype(np.int64)
+            bits = -(-n // 8)
+            parts.append((key, count, far, np.unpackbits(np.frombuffer(raw, np.uint8, bits, 8 + 16 * n), count=n).astype(bool), np.frombuffer(raw, np.uint8, offset=8 + 16 * n + bits)))
+            pages.append((page, int(count.sum())))
+        key, count, far, whole, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        start = np.cumsum(count + threshold - 1) - (count + threshold - 1)
+        begin = np.cumsum(count) - count  # of each entry's windows among all
+        flags = np.repeat(whole, count)
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]], [True]]))
+        x = 0
+        while x < len(edges) - 1:  # keys together, up to so many suffixes
+            y = x + 1
+            size = int(count[order[edges[x] : edges[y]]].sum())
+            while y < len(edges) - 1 and size + (more := int(count[order[edges[y] : edges[y + 1]]].sum())) <= SUFFIXES:
+                size, y = size + more, y + 1
+            own = order[edges[x] : edges[y]]
+            n = count[own]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            window, at = np.repeat(begin[own], n) + inside, np.repeat(start[own], n) + inside
+            # the digit that all share so far: the key, and the distance from the anchor
+            _, group = np.unique(np.repeat(key[own], n), return_inverse=True)
+            distance = np.repeat(far[own], n) - inside
+            for equal in radix_groups(data, at, group * (threshold + 1) + distance, threshold):
+                flags[window[equal]] = True
+            x = y
+        ends = np.cumsum([0, *(n for _, n in pages)])
+        return P.pack([(p, bucket, P.squeeze(np.packbits(flags[a:b]).tobytes())) for (p, _), a, b in zip(pages, ends[:-1], ends[1:], strict=True)])
+
+    return f
 
 
 def _finish(threshold: int, anchor: int, buckets: int, with_bytes: bool):
@@ -196,11 +250,12 @@ def _finish(threshold: int, anchor: int, buckets: int, with_bytes: bool):
         bucket = replies.column("bucket").to_numpy()
         one, two = replies.filter(pa.array(bucket >= 0)), replies.filter(pa.array(bucket < 0))
         two = two.set_column(1, "bucket", pc.subtract(pa.scalar(-1, pa.int32()), two.column("bucket")))
-        code, place, _, bucket, number = _window_keys(s, one, buckets)
-        flag = P.in_order(bucket, two, bool, bits=True)[number]
+        code, key, first, count, _, _ = _told(s, one, buckets)
         n = len(s.buf)
-        gone = covered(place[flag], threshold, n)
-        for a, b in zip(s.first[(code == WHOLE) | (code == WHOLE_AND_TELL)], s.last[(code == WHOLE) | (code == WHOLE_AND_TELL)], strict=True):
+        window = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        flag = P.in_order(np.repeat(P.bucket_of(key, buckets), count), two, bool, bits=True)
+        gone = covered(window[flag], threshold, n)
+        for a, b in zip(s.first[code & WHOLE > 0], s.last[code & WHOLE > 0], strict=True):
             gone[a : b + threshold] = True
         rows = []
         for a, b in zip(s.off[:-1], s.off[1:], strict=True):
@@ -215,14 +270,14 @@ def _finish(threshold: int, anchor: int, buckets: int, with_bytes: bool):
     return f
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, anchor: int | None = None, with_bytes: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, anchor: int | None = None, with_bytes: bool = True, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes left; null unless asked for)."""
     anchor = anchor or max(1, min(ANCHOR, threshold // 2))
     plan = P.Plan(docs, text_col)
     pages = P.paged(docs, plan, id_col, text_col)
-    spans = P.answer(P.ask(pages, _ask_spans(threshold, anchor, plan.buckets)), _answer_spans)
+    spans = P.answer(P.ask(pages, _ask_spans(threshold, anchor, plan.buckets)), _answer_spans(split))
     asks = P.with_replies(pages, spans, _ask_windows(threshold, anchor, plan.buckets), P.BLOBS)
-    windows = P.answer(asks, _answer_windows).selectExpr("page", "-1 - bucket AS bucket", "blob")
+    windows = P.answer(asks, _answer_windows(threshold)).selectExpr("page", "-1 - bucket AS bucket", "blob")
     return P.with_replies(pages, spans.unionByName(windows), _finish(threshold, anchor, plan.buckets, with_bytes), RESULT)
 
 
