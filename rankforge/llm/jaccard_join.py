@@ -8,10 +8,13 @@ A document's set is its distinct ``n``-word shingles; equal sets are one vertex.
 2. Of ``s`` shingles, a link needs ``ceil(percent * s / 100)`` in common, so its rarest ``s - that + 1`` shingles hold a
    common one: the size-derived bound. Where all of these are unique, nothing can link; most documents end here,
    however many share a passage with them. The others carry these keys, and their shingles that are not unique.
-3. Vertices are grouped by connection over keys, small groups packed, large ones cut into tiles; each pair of tiles is a
-   block of the product: overlaps add up from the blocks' inverted lists, pairs below the bound are discarded, and a
-   block returns a spanning forest of its links, never all pairs.
-4. Components of the forests' edges give the component of each document.
+3. Vertices are grouped by connection over keys. Small groups are packed into blocks of the product. Large groups are cut
+   into bands of sizes, of which only neighbouring ones can link, and bands into tiles; a block is a pair of tiles.
+   First each tile meets itself and the first tile of its band and of the next, which joins what is alike throughout,
+   in as many blocks as there are tiles. Then only vertices with a key that is held in two components still apart meet,
+   in blocks of tiles that share such a key.
+4. In a block overlaps add up from inverted lists, pairs below the bound are discarded, and the block returns a
+   spanning forest of its links, never all pairs. Components of the forests' edges give that of each document.
 
 Cases. Null texts and texts without words have an empty set and link with nothing; fewer words than ``n`` are one
 shingle. Rows of equal id are documents of their own; a component's id is its smallest non-null id. An empty table
@@ -20,17 +23,20 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pages as P
-from .common import Words, documents, materialize, mix, release
+from .common import Words, documents, materialize, mix, one_row_each, salted_join
 from .components import connected
 
 N, PERCENT, TILE = 4, 85, 512
-SETS = "doc_id long, n_shingles long, vertex long, rare array<bigint>, shared binary"
+SETS = "doc_id long, n_shingles long, vertex binary, rare array<bigint>, shared binary, md5 string"
 
 
 class Sets:
@@ -53,56 +59,60 @@ class Sets:
         docs = len(words.n)
         off = np.searchsorted(doc, np.arange(docs + 1))
         self.size = np.diff(off)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-        #: of each document, the hash of its set
-        self.vertex = mix(sums[off[1:]] - sums[off[:-1]] + self.size.astype(np.uint64))
+        #: of each document, two independent hashes of its set: sets that agree in both are taken as equal (n * n / 2**129 pairs expected)
+        self.vertex = np.empty((docs, 2), "<u8")
+        for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(mix(h ^ np.uint64(salt)) + np.uint64(salt >> k)), dtype=np.uint64)])
+            self.vertex[:, k] = mix(sums[off[1:]] - sums[off[:-1]] + self.size.astype(np.uint64))
         full = np.flatnonzero(self.size)
-        _, at = np.unique(self.vertex[full], return_index=True)
-        self.first = full[np.sort(at)]
+        order = full[np.lexsort((full, self.vertex[full, 1], self.vertex[full, 0]))]
+        new = np.concatenate([np.ones(min(1, len(order)), bool), (self.vertex[order[1:]] != self.vertex[order[:-1]]).any(axis=1)])
+        self.first = np.sort(order[new])
         chosen = np.zeros(docs, bool)
         chosen[self.first] = True
         self.hash = h[chosen[doc]]
         self.off = np.concatenate([[0], np.cumsum(self.size[self.first])])
 
 
-def _keys(s: Sets, buckets: int):
-    own, which, count = np.unique(s.hash, return_inverse=True, return_counts=True)
-    return own, P.bucket_of(P.second(own), buckets), which, count
+def _keys(s: Sets):
+    return np.unique(s.hash, return_inverse=True, return_counts=True)
 
 
 def _ask(n: int, buckets: int):
+    # 32 bits of what a key has over its bucket's first: a clash makes a shingle look less rare, for all its holders
+    shift = np.uint64(max(0, 32 - int(math.log2(buckets))))
+
     def f(table: pa.Table) -> pa.Table:
-        own, bucket, _, count = _keys(Sets(P.load(table)[1], n), buckets)
-        if not len(own):
-            return P.nothing()
-        order = np.argsort(bucket, kind="stable")
-        # 32 bits and the bucket: a clash makes a shingle look less rare, for all its holders
-        short, count = own[order].astype(np.uint32), np.minimum(count[order], 255).astype(np.uint8)
-        page, (b, at) = table.column("page")[0].as_py(), np.unique(bucket[order], return_index=True)
-        return P.pack([(page, int(k), short[x:y].tobytes() + count[x:y].tobytes()) for k, x, y in zip(b, at, [*at[1:], len(own)], strict=True)])
+        own, _, count = _keys(Sets(P.load(table)[1], n))
+        page, count = table.column("page")[0].as_py(), np.minimum(count, 255).astype(np.uint8)
+        rows = []
+        for b, x, y in P.slices(P.bucket_of(own, buckets)):
+            low = np.uint64(((b << 32) + buckets - 1) // buckets << 32)
+            rows.append((page, b, P.squeeze(P.steps(((own[x:y] - low) >> shift).astype("<u4")) + count[x:y].tobytes())))
+        return P.pack(rows)
 
     return f
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    raw = table.column("blob").to_pylist()
+    pages, raw = zip(*P.asked(table), strict=True)
     sizes = [len(b) // 5 for b in raw]
-    key = np.concatenate([np.frombuffer(b, np.uint32, n) for b, n in zip(raw, sizes, strict=True)])
+    key = np.concatenate([P.unsteps(b[: 4 * n], "<u4") for b, n in zip(raw, sizes, strict=True)])
     count = np.concatenate([np.frombuffer(b, np.uint8, n, 4 * n) for b, n in zip(raw, sizes, strict=True)])
-    own, which = np.unique(key, return_inverse=True)
+    _, which = np.unique(key, return_inverse=True)
     df = np.bincount(which, weights=count)
     # exact below 128, then eight steps for each doubling
     code = np.where(df < 128, df, np.minimum(255, 128 + 8 * np.log2(np.maximum(df, 128) / 128))).astype(np.uint8)[which]
     at, bucket = np.cumsum([0, *sizes]), table.column("bucket")[0].as_py()
-    return P.pack([(p, bucket, code[x:y].tobytes()) for p, x, y in zip(table.column("page").to_pylist(), at[:-1], at[1:], strict=True)])
+    return P.pack([(p, bucket, P.squeeze(code[x:y].tobytes())) for p, x, y in zip(pages, at[:-1], at[1:], strict=True)])
 
 
-def _sets(n: int, percent: int, buckets: int):
+def _sets(n: int, percent: int, buckets: int, digest: bool):
     def f(table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, text = P.load(table)
         s = Sets(text, n)
-        _, bucket, which, _ = _keys(s, buckets)
-        code = P.in_order(bucket, replies, np.uint8)[which]
+        own, which, _ = _keys(s)
+        code = P.in_order(P.bucket_of(own, buckets), replies, np.uint8)[which]
         rare: list = [None] * len(ids)
         shared: list = [None] * len(ids)
         size = np.diff(s.off)
@@ -112,9 +122,11 @@ def _sets(n: int, percent: int, buckets: int):
             order = np.lexsort((h, c))[: size[i] - need[i] + 1]
             rare[s.first[i]] = h[order[c[order] > 1]].view(np.int64)
             shared[s.first[i]] = h[c > 1].tobytes()
+        vertex = [v.tobytes() if k else None for v, k in zip(s.vertex, s.size, strict=True)]
+        md5 = [hashlib.md5(t).hexdigest() for t in text.to_pylist()] if digest else [None] * len(ids)
         return pa.table({
-            "doc_id": ids, "n_shingles": s.size.astype(np.int64),
-            "vertex": pa.array(s.vertex.view(np.int64), mask=s.size == 0), "rare": pa.array(rare, pa.list_(pa.int64())), "shared": pa.array(shared, pa.binary()),
+            "doc_id": ids, "n_shingles": s.size.astype(np.int64), "vertex": pa.array(vertex, pa.binary()),
+            "rare": pa.array(rare, pa.list_(pa.int64())), "shared": pa.array(shared, pa.binary()), "md5": pa.array(md5, pa.string()),
         })
 
     return f
@@ -162,9 +174,9 @@ def forest(link: np.ndarray) -> list[tuple[int, int]]:
 
 def _block(percent: int):
     def f(table: pa.Table) -> pa.Table:
-        vertex = table.column("vertex").to_numpy()
-        vertex, at = np.unique(vertex, return_index=True)
-        table = table.take(pa.array(at))
+        raw = table.column("vertex").to_pylist()
+        at = {v: i for i, v in enumerate(raw)}  # a vertex once, whatever rows there are
+        table, vertex = table.take(pa.array(list(at.values()), pa.int64())), list(at)
         side, size = table.column("side").to_numpy(), table.column("n_shingles").to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in table.column("shared").to_pylist()]
         m = len(vertex)
@@ -173,57 +185,99 @@ def _block(percent: int):
         if side.any():
             link &= side[:, None] != side[None, :]
         edges = forest(link | link.T)
-        a, b = (np.array(x, np.int64) for x in zip(*edges, strict=True)) if edges else (np.empty(0, np.int64),) * 2
-        return pa.table({"a": vertex[a], "b": vertex[b]})
+        return pa.table({"a": pa.array([vertex[i] for i, _ in edges], pa.binary()), "b": pa.array([vertex[j] for _, j in edges], pa.binary())})
 
     return f
 
 
+#: Tiles of a band have numbers from band * BAND on.
+BAND = 1 << 40
+
+
 def links(sets: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """a, b: a spanning forest of the links between vertices, block by block."""
-    held = sets.filter("shared is not null")
+    """a, b: spanning forests of the links between vertices, block by block."""
+    held = sets.filter("shared is not null").groupBy("vertex").agg(F.max(F.struct("n_shingles", "shared", "rare")).alias("s")).select("vertex", "s.*")
     by_key = held.select("vertex", F.explode("rare").alias("k")).distinct()
-    centre = by_key.groupBy(F.col("k").alias("c_k")).agg(F.min("vertex").alias("c"), F.count("*").alias("n")).filter("n > 1")
-    group = materialize(connected(by_key.join(centre, F.col("k") == F.col("c_k")).select(F.col("vertex").alias("a"), F.col("c").alias("b"))))
-    member = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
-    size = group.groupBy(F.col("root").alias("s_root")).agg((F.count("*") + 1).alias("m"))
-    total = member.count()
-    packs = max(1, -(-total // (tile // 2)))
-    tiles = F.ceil(F.col("m") / tile).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    placed = member.join(size, F.col("root") == F.col("s_root")).withColumn("tiles", tiles).withColumn("t", own)
-    # a pair of tiles is a block; groups of one tile are packed together
-    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.withColumn("o", other)
-    block = F.when(F.col("tiles") == 1, F.struct(F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("root"), F.lit(packs)).alias("i"), F.lit(0).cast("long").alias("j"))).otherwise(F.struct(F.col("root").alias("g"), F.least("t", "o").cast("long").alias("i"), F.greatest("t", "o").cast("long").alias("j")))
-    placed = placed.select("node", block.alias("block"), (F.col("t") > F.col("o")).cast("int").alias("side"), (F.col("tiles") == 1).alias("alone"), (F.col("t") == F.col("o")).alias("own"))
-    rows = placed.join(held.select("vertex", "n_shingles", "shared"), F.col("node") == F.col("vertex"))
-    rows = rows.select(F.col("block.g").alias("g"), F.col("block.i").alias("i"), F.col("block.j").alias("j"), "vertex", "n_shingles", "shared", F.when(F.col("alone") | F.col("own"), F.lit(0)).otherwise(F.col("side")).alias("side"))
-    return rows.groupBy("g", "i", "j").applyInArrow(_block(percent), "a long, b long")
+    centre = by_key.groupBy("k").agg(F.min("vertex").alias("c"), F.count("*").alias("n")).filter("n > 1").select("k", "c")
+    group = materialize(connected(salted_join(by_key, centre, ("k",), "vertex").select(F.col("vertex").alias("a"), F.col("c").alias("b"))))
+    member = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "vertex")
+    size = group.groupBy("root").agg((F.count("*") + 1).alias("m"))
+    rows = materialize(salted_join(member, size, ("root",), "vertex").join(held.drop("rare"), "vertex"))
+    product = lambda blocks: blocks.select("g", "i", "j", "vertex", "n_shingles", "shared", "side").groupBy("g", "i", "j").applyInArrow(_block(percent), "a binary, b binary")
+    small, large = rows.filter(F.col("m") <= tile), rows.filter(F.col("m") > tile)
+    packs = F.lit(max(1, -(-small.count() // max(1, tile // 2))))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("binary")
+    found = product(small.withColumns({"g": none, "i": F.pmod(F.xxhash64("root"), packs), "j": zero, "side": F.lit(0)}))
+    if large.isEmpty():
+        return found
+    # bands: sizes of linked sets differ by a factor of 100 / percent at most, so by one band
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / min(percent, 99)) + 1e-9).cast("long") if percent < 100 else F.col("n_shingles")
+    large = large.withColumn("band", band)
+    bands = large.groupBy("root", "band").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    below = bands.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
+    bands = bands.join(below, ["root", "band"], "left").withColumn("tiles_below", F.coalesce("tiles_below", F.lit(0)))
+    large = salted_join(large, bands, ("root", "band"), "vertex").withColumn("t", F.pmod(F.xxhash64("vertex"), F.col("tiles"))).withColumn("tile", F.col("band") * BAND + F.col("t"))
+    large = materialize(large)
+
+    def block(i, j, side: int):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+
+    own, first, up = F.col("tile"), F.col("band") * BAND, (F.col("band") + 1) * BAND
+    down = (F.col("band") - 1) * BAND
+    until = lambda a, n: F.when(n > a, F.sequence(F.lit(a).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    meets = F.concat(
+        F.array(block(own, own, 0), block(own, up, 0)),
+        F.when(F.col("t") > 0, F.array(block(first, own, 1))).otherwise(F.transform(until(1, F.col("tiles")), lambda o: block(own, first + o, 0))),
+        F.when(F.col("t") == 0, F.transform(until(0, F.col("tiles_below")), lambda o: block(down + o, own, 1))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")),
+    )
+    spine = materialize(product(large.withColumn("b", F.explode(meets)).select(F.col("root").alias("g"), "b.i", "b.j", "b.side", "vertex", "n_shingles", "shared")))
+    # what is still apart though it shares a key
+    part = connected(spine).withColumnsRenamed({"node": "vertex", "root": "part"})
+    keyed = by_key.join(large.select("vertex", "root", "band", "t", "tile"), "vertex").join(part, "vertex", "left").withColumn("part", F.coalesce("part", "vertex"))
+    apart = keyed.groupBy("k").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("k")
+    keyed = materialize(salted_join(keyed, apart, ("k",), "vertex"))
+    # pairs of tiles, from the distinct sets of tiles that hold a key
+    together = keyed.groupBy("root", "k").agg(F.sort_array(F.collect_set("tile")).alias("s")).select("root", "s").distinct()
+    pairs = together.select("root", F.explode("s").alias("i"), "s").select("root", "i", F.explode(F.filter("s", lambda o: (o > F.col("i")) & (o < (F.floor(F.col("i") / BAND) + 2) * BAND))).alias("j")).distinct()
+    band_of, t_of = (lambda c: F.floor(F.col(c) / BAND)), (lambda c: F.col(c) % BAND)
+    met = F.when(band_of("i") == band_of("j"), t_of("i") == 0).otherwise(t_of("j") == 0)
+    pairs = pairs.filter(~met)
+    sides = pairs.select("root", F.col("i").alias("tile"), "i", "j", F.lit(0).alias("side")).unionByName(pairs.select("root", F.col("j").alias("tile"), "i", "j", F.lit(1).alias("side")))
+    again = keyed.select("vertex", "root", "tile").distinct().join(sides, ["root", "tile"]).join(large.select("vertex", "n_shingles", "shared"), "vertex").withColumn("g", F.col("root"))
+    return found.unionByName(spine).unionByName(product(again))
+
+
+def _with_components(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, tile: int, digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, root (the component's name; null without words), md5 of the text (if asked for)."""
+    plan = P.Plan(docs, text_col)
+    pages = P.paged(docs, plan, id_col, text_col)
+    replies = P.answer(P.ask(pages, _ask(n, plan.buckets)), _answer)
+    sets = materialize(P.with_replies(pages, replies, _sets(n, percent, plan.buckets, digest), SETS))
+    roots = connected(links(sets, percent, tile)).withColumnRenamed("node", "vertex")
+    # a set's rows are aggregated before they are shuffled; only sets with several rows or links go on
+    least = sets.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    rooted = least.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("rows")).filter("rows > 1").select("root", "component_id")
+    several = salted_join(rooted.drop("least", "rows"), smallest, ("root",), "vertex")
+    full = salted_join(sets.drop("rare", "shared"), several, ("vertex",), "doc_id", "left")
+    return full.withColumns({"component_id": F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("doc_id"))), "root": F.coalesce("root", "vertex")})
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable by links, its own included."""
-    spark = docs.sparkSession
-    plan = P.Plan(docs, text_col)
-    pages = P.paged(docs, plan, id_col, text_col)
-    replies = P.answer(P.ask(pages, _ask(n, plan.buckets)), _answer)
-    sets = materialize(P.with_replies(pages, replies, _sets(n, percent, plan.buckets), SETS))
-    release(spark)
-    roots = connected(links(sets, percent, tile))
-    # ids meet their set first, then their component, so that a hot set is aggregated before it is shuffled
-    least = sets.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(roots, F.col("vertex") == F.col("node"), "left").select("vertex", F.coalesce("root", "vertex").alias("root"), "least")
-    smallest = rooted.groupBy(F.col("root").alias("s_root")).agg(F.min("least").alias("component_id"))
-    component = rooted.join(smallest, F.col("root") == F.col("s_root")).select(F.col("vertex").alias("c_vertex"), "component_id")
-    full = sets.filter("vertex is not null").join(component, F.col("vertex") == F.col("c_vertex")).select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(sets.filter("vertex is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is their component's: one document of each group (all that share this id)."""
-    kept = components(docs, id_col, text_col, **options).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return _with_components(docs, id_col, text_col, n, percent, tile).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """One row of docs for each component: that of the smallest id (null last), then of the smallest md5 of the text.
+
+    Rows without words link with nothing and stay. Rows alike in id and text are one document.
+    """
+    full = _with_components(docs, id_col, text_col, n, percent, tile, digest=True)
+    alike = full.groupBy("root", "doc_id", "md5").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "md5", "n"))
+    kept = alike.filter("root IS NOT NULL").groupBy("root").agg(first.alias("r")).select("r.doc_id", "r.md5", "r.n")
+    return one_row_each(docs, kept.unionByName(alike.filter("root IS NULL").drop("root")), id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
