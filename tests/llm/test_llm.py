@@ -110,11 +110,12 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert quality_rules.filter_docs(df).columns == ["doc_id", "text"]
 
 
-def test_suffix_dedup(docs):
-    threshold = 40
+@pytest.mark.parametrize(("threshold", "anchor", "split"), [(40, 16, 1024), (40, 16, 1), (200, 64, 1024), (37, 8, 2)])
+def test_suffix_dedup(docs, monkeypatch, threshold, anchor, split):
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES", 300)
     data = [(t or "").encode() for t in texts()]
     count = Counter(b[i : i + threshold] for b in data for i in range(len(b) - threshold + 1))
-    got = {r.doc_id: r for r in suffix_dedup.dedup(docs, threshold=threshold, anchor=16).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.dedup(docs, threshold=threshold, anchor=anchor, split=split).collect()}
     for d, b in enumerate(data):
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - threshold + 1):
@@ -172,11 +173,11 @@ def test_substring_dedup_verifies_hits(spark):
 
 def test_runs():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
-    assert (substring_dedup.unpack_run(substring_dedup.pack_run(keys)) == keys).all()
-    assert len(substring_dedup.unpack_run(substring_dedup.pack_run(keys[:0]))) == 0
+    assert (substring_dedup.unpack_pairs(substring_dedup.pack_pairs(keys, keys.astype(np.uint32)))[0] == keys).all()
+    assert len(substring_dedup.unpack_pairs(substring_dedup.pack_pairs(keys[:0], keys[:0].astype(np.uint32)))[0]) == 0
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 3, 4])
 def test_lm_scores(docs, order):
     lower = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(t)]
     own = [lower(t) for t in texts()]
@@ -195,20 +196,17 @@ def test_lm_scores(docs, order):
         assert got[d].n_words == len(w) and got[d].score == pytest.approx(s / len(w) if w else 0.0), d
 
 
-def test_lm_query_of_order_3(spark, docs, tmp_path):
-    """The query of order 3 against its SQL; trigrams and back-off by two steps count."""
+def test_lm_query_against_sql(spark, docs, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     from rankforge.llm import registry
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.n_words, r.score) for r in registry.queries()["op5_lm_scoring_order3"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n_words, r.score, r.total) for r in registry.queries()["op5_lm_scoring"](spark, str(tmp_path)).collect()}
     own = duckdb.connect()
     own.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    want = {d: (n, s) for d, n, s in own.execute(registry.oracle_sql()["op5_lm_scoring_order3"]).fetchall()}
+    want = {d: (n, s, t) for d, n, t, s in own.execute(registry.oracle_sql()["op5_lm_scoring"]).fetchall()}
     assert got.keys() == want.keys()
-    assert all(got[d][0] == n and got[d][1] == pytest.approx(s, abs=2e-6) for d, (n, s) in want.items())
-    two = {r.doc_id: r.score for r in registry.queries()["op5_lm_scoring"](spark, str(tmp_path)).collect()}
-    assert any(abs(got[d][1] - two[d]) > 0.01 for d in two)
+    assert all(got[d][0] == n and got[d][1] == pytest.approx(s, abs=2e-6) and got[d][2] == pytest.approx(t, abs=2e-4) for d, (n, s, t) in want.items())
 
 
 def components(sets, percent):
