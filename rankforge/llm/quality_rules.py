@@ -1,15 +1,18 @@
 """Quality rules as weak supervision (op 2), native: DataFrame and SQL functions only.
 
-A rule looks at statistics of a text and votes 1 (good), 0 (bad) or abstains (-). Rules on a single defect say bad or
-nothing, as the absence of one defect says little; the rule on ordinary prose says good or nothing. Every document's
-votes make one of at most ``3 ** len(RULES)`` patterns, so all that expectation-maximisation needs is how often each
-pattern occurs: a table whose size does not grow with the corpus, folded into one row and iterated by ``aggregate``.
-The model has a prior of good and, for each rule, how often good and bad documents get each of its votes (its
-accuracies); rules are taken as independent given quality. The posterior probability of good, by pattern, joins back
-to the documents, and a document is kept from ``KEEP`` on.
+A rule looks at one statistic of a text and votes good (1) where it is as in ordinary prose, bad (0) where it is far from
+that, and abstains (-) between. No rule decides: expectation-maximisation estimates from the votes alone, without labels,
+the prior of good and how often good and bad documents get each vote of each rule (its accuracies; rules are taken as
+independent given quality), and a document is kept if its posterior probability of good reaches ``KEEP``. So a bad vote
+of a rule that often errs, against good votes of others, is overruled, and several weak signs together reject.
+
+Every document's votes make one of at most ``3 ** len(RULES)`` patterns, so all that expectation-maximisation needs is how
+often each pattern occurs: a table whose size does not grow with the corpus, folded into one row and iterated by
+``aggregate``. The posterior, by pattern, joins back to the documents.
 
 Cases. A null text has no words: all counts are 0 and it fails the base rule. Rows of equal id are judged apart. An
-empty table gives an empty result. Extra columns are not read; ``filter_docs`` carries the given columns along.
+empty table gives an empty result. Extra columns are not read; ``filter_docs`` carries all columns along, whatever
+their names. Very long texts cost in proportion, but for windows of three words that repeat, whose words are sorted.
 """
 
 from __future__ import annotations
@@ -20,30 +23,36 @@ from pyspark.sql import functions as F
 from .common import SPACE, documents, materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-PRIOR, ROUNDS, KEEP = 0.8, 25, 0.5
+PRIOR, ROUNDS, KEEP = 0.9, 25, 0.5
 #: name, SQL condition of a vote for good, of a vote for bad. Percentages of words, lines or characters of words.
 RULES = (
-    ("prose", "n_words >= 50 AND p_symbols <= 10 AND p_marks <= 10 AND p_repeat <= 35 AND p_lines <= 35 AND p_upper <= 20 AND p_long <= 4", "n_words < 10"),
-    ("symbols", "false", "p_symbols >= 25"),
-    ("repeat_words", "false", "p_repeat >= 45"),
-    ("dup_lines", "false", "p_lines >= 45"),
-    ("marks", "false", "p_marks >= 25"),
-    ("upper", "false", "p_upper >= 40"),
-    ("word_length", "false", "p_long >= 6"),
-    ("distinct", "false", "p_distinct <= 15"),
+    ("length", "n_words >= 80", "n_words < 20"),
+    ("symbols", "p_symbols <= 5", "p_symbols >= 25"),
+    ("symbol_runs", "p_runs <= 5", "p_runs >= 20"),
+    ("letters", "p_letters >= 92", "p_letters <= 80"),
+    ("repeat_words", "p_repeat <= 12", "p_repeat >= 40"),
+    ("dup_lines", "p_lines <= 10", "p_lines >= 30"),
+    ("marks", "p_marks <= 3", "p_marks >= 25"),
+    ("upper", "p_upper <= 6", "p_upper >= 30"),
+    ("word_length", "p_long <= 1.2", "p_long >= 2.2"),
+    ("distinct", "p_distinct >= 55", "p_distinct <= 25"),
 )
 #: What the rules speak of.
 SHARES = {
     "p_symbols": "100 * n_symbols / greatest(n_words, 1)",
+    "p_runs": "100 * n_symbol_runs / greatest(n_words, 1)",
+    "p_letters": "100 * n_letters / greatest(word_chars, 1)",
     "p_repeat": "100 * n_repeat_words / greatest(n_words, 1)",
     "p_lines": "100 * n_dup_lines / greatest(n_lines, 1)",
     "p_marks": "100 * n_marks / greatest(n_words, 1)",
     "p_upper": "100 * n_upper / greatest(word_chars, 1)",
-    "p_long": "abs(word_chars / greatest(n_words, 1) - 5.5)",
+    "p_long": "abs(word_chars / greatest(n_words, 1) - 5.2)",
     "p_distinct": "100 * n_distinct / greatest(n_words, 1)",
 }
-#: First guesses of how often a good and a bad document get the votes 1, 0 and - from a rule that can vote good, and from one that cannot.
-FIRST = {True: ((0.85, 0.01, 0.14), (0.05, 0.2, 0.75)), False: ((0.0, 0.02, 0.98), (0.0, 0.3, 0.7))}
+#: What no letter is, of ASCII.
+NO_LETTERS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ \t\n\x0b\x0c\r"
+#: First guesses of how often a good and a bad document get the votes 1, 0 and - from a rule.
+FIRST = ((0.85, 0.005, 0.145), (0.45, 0.3, 0.25))
 #: Votes that each estimate is smoothed by, in the proportions of its first guess.
 WEIGHT = 2.0
 
@@ -58,36 +67,42 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def _repeated(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more."""
+    """Words in 3-word windows that occur twice or more. Most texts have none, which distinct hashes prove; windows themselves are compared in the others."""
+
+    def hashes(w: Column) -> Column:
+        return F.zip_with(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(w, 3, F.size(w)), lambda p, c: F.when(c.isNotNull(), F.xxhash64(p["a"], p["b"], c)))
 
     def count(w: Column) -> Column:
-        n = F.size(w)
-        grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
         # equal windows are neighbours once sorted
         pairs = let(F.array_sort(grams), lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"]))))
         places = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
         # a window adds the words that the one before it does not cover
         return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
 
-    return F.when(F.size(words) >= 3, let(words, count)).otherwise(0).cast("long")
+    # of n words, the last two begin no window: n - 2 hashes and a null
+    return let(words, lambda w: F.when(F.size(F.array_distinct(hashes(w))) < F.size(w) - 1, count(w)).otherwise(0)).cast("long")
 
 
 def statistics(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The carried columns and the statistics that base rule and rules use."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(*[F.col(c) for c in carry], text.alias("_t"), F.filter(F.split(text, SPACE + "+"), lambda x: x != "").alias("_w"))
+    names = [f"_c{i}" for i in range(len(carry))]  # free of clashes
+    own = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], text.alias("_t"), F.filter(F.split(text, SPACE + "+"), lambda x: x != "").alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return own.select(
-        *carry,
+        *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)],
         F.size("_w").cast("long").alias("n_words"),
         _without(F.col("_t"), " \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
         (F.char_length("_t") - _without(F.col("_t"), "#*$%&|<>")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("_w")).alias("n_repeat_words"),
+        F.when(F.size("_w") >= 3, _repeated(F.col("_w"))).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.regexp_count("_t", F.lit("!")).cast("long").alias("n_marks"),
+        (F.char_length("_t") - F.char_length(F.replace(F.col("_t"), F.lit("!"), F.lit("")))).cast("long").alias("n_marks"),
         F.regexp_count("_t", F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
+        F.regexp_count("_t", F.lit("[#*$%&|<>]+")).cast("long").alias("n_symbol_runs"),
+        _without(F.col("_t"), NO_LETTERS).cast("long").alias("n_letters"),
     )
 
 
@@ -109,7 +124,7 @@ def base_failed() -> Column:
 def posteriors(judged: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """votes, quality (posterior of good), prior and by_rule (rates of the votes 1, 0, - among good, then among bad), for each pattern of votes that occurs."""
     m = len(RULES)
-    guess = [FIRST[good != "false"] for _, good, _ in RULES]
+    guess = [FIRST for _ in RULES]
     patterns = judged.groupBy("votes").agg(F.count("*").cast("double").alias("c")).agg(F.sort_array(F.collect_list(F.struct("votes", "c"))).alias("p"))
 
     def good(v: Column, model: Column) -> Column:

@@ -99,6 +99,88 @@ def test_quality_is_native(docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def votes_of(t):
+    """The rules again, in Python."""
+    w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
+    n, chars = max(1, len(w)), max(1, sum(map(len, w)))
+    at = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    repeated = len({k + j for k in range(len(w) - 2) if at[tuple(w[k : k + 3])] > 1 for j in range(3)})
+    letters = sum(1 for x in "".join(w) if not (ord(x) < 128 and not x.isalpha()))
+    long = abs(sum(map(len, w)) / n - 5.2)
+    shares = [
+        (len(w) >= 80, len(w) < 20),
+        *((x <= good, x >= bad) for x, good, bad in (
+            (100 * len(re.findall(r"[#*$%&|<>]", t or "")) / n, 5, 25), (100 * len(re.findall(r"[#*$%&|<>]+", t or "")) / n, 5, 20))),
+        (100 * letters / chars >= 92, 100 * letters / chars <= 80),
+        *((x <= good, x >= bad) for x, good, bad in (
+            (100 * repeated / n, 12, 40), (100 * (len(lines) - len(set(lines))) / max(1, len(lines)), 10, 30),
+            (100 * (t or "").count("!") / n, 3, 25), (100 * len(re.findall("[A-Z]", t or "")) / chars, 6, 30), (long, 1.2, 2.2))),
+        (100 * len(set(w)) / n >= 55, 100 * len(set(w)) / n <= 25),
+    ]
+    return "".join("0" if bad else "1" if good else "-" for good, bad in shares), len(w) < 50 or 100 * repeated > 50 * len(w)
+
+
+def posteriors_of(votes):
+    """Expectation-maximisation over documents one by one."""
+    m = len(votes[0])
+    x = np.array([["10-".index(c) for c in v] for v in votes])
+    first = np.array(quality_rules.FIRST)
+    rates, prior = np.tile(first + 1e-6, (m, 1, 1)), quality_rules.PRIOR
+    for turn in range(quality_rules.ROUNDS + 1):
+        odds = np.log(prior / (1 - prior)) + sum(np.log(rates[j, 0, x[:, j]] / rates[j, 1, x[:, j]]) for j in range(m))
+        q = 1 / (1 + np.exp(-odds))
+        if turn == quality_rules.ROUNDS:
+            return q
+        n = (q.sum(), (1 - q).sum())
+        prior = (n[0] + quality_rules.WEIGHT * quality_rules.PRIOR) / (len(q) + quality_rules.WEIGHT)
+        for j in range(m):
+            for side, share in enumerate((q, 1 - q)):
+                for k in range(3):
+                    rates[j, side, k] = (share[x[:, j] == k].sum() + quality_rules.WEIGHT * first[side, k] + 1e-6) / (n[side] + quality_rules.WEIGHT + 3e-6)
+
+
+def corpus(seed=5, n=300):
+    """Clean prose, some with a single flaw, and junk of several kinds."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 8)))
+    prose = lambda k: [" ".join(word() for _ in range(10)) + "." for _ in range(k)]
+    clean = ["\n".join(prose(rng.randint(6, 14))) for _ in range(n)]
+    flawed = ["\n".join([*own, *own[:1], *own[:1], *own[:1]]) for own in (prose(5) for _ in range(4))]  # lines met again, no more
+    hashes = ["\n".join(" ".join(word() + rng.choice(["###", "$$$"]) for _ in range(10)) for _ in range(10)) for _ in range(20)]
+    bars = [" | ".join(word() for _ in range(90)) for _ in range(15)]
+    shouts = [" ".join(word().upper() + "!!" for _ in range(20)) + "\n" + " ".join(["BUY", word().upper() + "!!"] * 40) for _ in range(15)]
+    return clean, flawed, [*hashes, *bars, *shouts]
+
+
+def test_quality_posterior(spark):
+    clean, flawed, junk = corpus()
+    data = [*clean, *flawed, *junk, None, "", "one", "short text of six words here"]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    want = [votes_of(t) for t in data]
+    assert [got[i].votes for i in range(len(data))] == [v for v, _ in want]
+    q = posteriors_of([v for v, _ in want])
+    for i in range(len(data)):
+        assert got[i].quality == pytest.approx(q[i], abs=1e-9) and got[i].base_failed == want[i][1]
+        assert got[i].kept == (q[i] >= 0.5 and not want[i][1])
+    kept = {i for i in range(len(data)) if got[i].kept}
+    # a vote for bad is overruled, which a filter that all rules must pass would not do
+    assert any("0" in got[i].votes for i in kept) and set(range(len(clean) + len(flawed))) <= kept
+    assert not kept & set(range(len(clean) + len(flawed), len(data)))
+    # nor does one rule decide: junk passes all rules but a few
+    assert all(got[i].quality < 0.01 for i in range(len(clean) + len(flawed), len(clean) + len(flawed) + len(junk)))
+
+
+def test_quality_long_texts_and_clashing_names(spark):
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(5)) for _ in range(60_000))
+    df = spark.createDataFrame([(1, long, 7, "x"), (2, long + " " + long[:600], 8, "y")], "doc_id long, text string, n_words long, _w string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert got[1].n_words == 60_000 and got[2].n_repeat_words >= 200
+    assert sorted(tuple(r) for r in quality_rules.filter_docs(df).select("doc_id", "n_words", "_w").collect()) == [(1, 7, "x"), (2, 8, "y")]
+    assert sorted(r._w for r in quality_rules.judge(df, carry=("doc_id", "_w")).collect()) == ["x", "y"]
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
