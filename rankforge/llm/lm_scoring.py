@@ -25,6 +25,8 @@ from . import pages as P
 from .common import Words, documents, mix
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+#: Bytes of input that a page and a bucket share: pages of some 4 MB at 0.5 GB, as larger ones hold fewer distinct n-grams to a byte.
+BLOB = 1 << 15
 RESULT = "doc_id long, n_words long, total double, score double"
 
 
@@ -125,7 +127,7 @@ def _finish(order: int, alpha: float, min_count: int, buckets: int):
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words, total (sum of the log scores of a text's words, n-grams counted over all documents), score (their mean)."""
-    plan = P.Plan(docs, text_col)
+    plan = P.Plan(docs, text_col, BLOB)
     pages = P.paged(docs, plan, id_col, text_col)
     replies = P.answer(P.ask(pages, _ask(order, plan.buckets)), _answer(plan.buckets))
     return P.with_replies(pages, replies, _finish(order, alpha, min_count, plan.buckets), RESULT)

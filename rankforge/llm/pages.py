@@ -39,11 +39,12 @@ _PAGE_SCHEMA = pa.schema([("page", pa.int32()), ("texts", pa.binary())])
 class Plan:
     """How many pages and buckets a table gets."""
 
-    def __init__(self, docs: DataFrame, text_col: str = "text"):
+    def __init__(self, docs: DataFrame, text_col: str = "text", blob: int = BLOB):
+        """blob: larger ones make for larger pages, which have fewer distinct keys to a byte of text."""
         spark = docs.sparkSession
         small_workers(spark)
         size = source_bytes(docs, text_col)
-        unit = min(MOST, max(LEAST, int((size * BLOB) ** 0.5)))
+        unit = min(MOST, max(LEAST, int((size * blob) ** 0.5)))
         self.pages = self.buckets = max(2 * spark.sparkContext.defaultParallelism, -(-size // unit))
 
 
