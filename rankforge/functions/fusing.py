@@ -134,16 +134,13 @@ def _nelder_mead(f, start: np.ndarray, step: np.ndarray, budget: int = 2000, tol
 
 
 @lru_cache(256)
-def owa_weights(n: int, risk: float) -> tuple[float, ...]:
-    """Weights of ranks sorted from worst to best. Risk near 1 looks at the best rank, near 0 at the worst, 0.5 at their mean."""
-    if n < 1 or not 0 <= risk <= 1:
-        raise ValueError("n is at least 1, risk is 0 to 1")
-    if n == 1:
-        return (1.0,)
+def owa_shape(risk: float) -> tuple[float, float] | None:
+    """Centre and spread of the normal density whose part in 0 .. 1 has the mean ``risk`` and the deviation that its trade-off asks for; None at 0 and 1, where one rank has all weight."""
+    if not 0 <= risk <= 1:
+        raise ValueError("risk is 0 to 1")
     trade = 4 * risk * (1 - risk)
-    at = np.arange(n) / (n - 1)
     if trade == 0:
-        return tuple(float(i == int(np.argmin(np.abs(at - risk)))) for i in range(n))
+        return None
     sd = trade / (2 * math.sqrt(3))
 
     def miss(p: np.ndarray) -> float:
@@ -153,7 +150,20 @@ def owa_weights(n: int, risk: float) -> tuple[float, ...]:
         return math.inf if math.isnan(m) or math.isnan(s) else (m - risk) ** 2 + (s - sd) ** 2
 
     mu, spread = _nelder_mead(miss, np.array([risk, sd]), np.array([risk, sd]))
-    logs = -(((at - mu) / spread) ** 2) / 2
+    return float(mu), float(spread)
+
+
+@lru_cache(256)
+def owa_weights(n: int, risk: float) -> tuple[float, ...]:
+    """Weights of ranks sorted from worst to best. Risk near 1 looks at the best rank, near 0 at the worst, 0.5 at their mean."""
+    if n < 1 or not 0 <= risk <= 1:
+        raise ValueError("n is at least 1, risk is 0 to 1")
+    if n == 1:
+        return (1.0,)
+    at, shape = np.arange(n) / (n - 1), owa_shape(risk)
+    if shape is None:
+        return tuple(float(i == int(np.argmin(np.abs(at - risk)))) for i in range(n))
+    logs = -(((at - shape[0]) / shape[1]) ** 2) / 2
     w = np.exp(logs - logs.max())
     if not np.isfinite(w).all() or w.sum() <= 0:
         raise ValueError(f"no weights for n = {n}, risk = {risk}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,8 +39,86 @@ def _numpy(f) -> Column:
     return score(F.col("r"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row, also where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def normal_cdf(z: Column) -> Column:
+    """Of the standard normal distribution: the odd series about 0, and a continued fraction beyond 4."""
+
+    def about(z: Column) -> Column:
+        # z + z^3 / 3 + z^5 / (3 5) + ...
+        first = F.struct(z.alias("t"), z.alias("s"))
+        terms = F.aggregate(F.sequence(F.lit(1), F.lit(80)), first, lambda a, k: F.struct((a["t"] * z * z / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * z * z / (2 * k + 1)).alias("s")), lambda a: a["s"])
+        return 0.5 + density(z) * terms
+
+    def tail(z: Column) -> Column:
+        return density(z) / F.aggregate(F.sequence(F.lit(80), F.lit(1)), z, lambda a, k: z + k / a)
+
+    def density(z: Column) -> Column:
+        return F.exp(-z * z / 2) / (2 * math.pi) ** 0.5
+
+    return let(z, lambda z: F.when(F.abs(z) < 4, about(z)).when(z < 0, tail(-z)).otherwise(1 - tail(z)))
+
+
+def _rra(own: Column) -> Column:
+    """n times the least probability that the i-th of n sorted uniform numbers is at most the i-th rank: upper tails of binomials, in logarithms."""
+
+    def tail(x: Column, i: Column, n: Column) -> Column:
+        # terms of j = n, n - 1, .. i successes in n
+        first = F.struct((n * F.log(x)).alias("l"), F.lit(0.0).alias("s"))
+        step = lambda a, j: F.struct((a["l"] + F.log(j / (n - j + 1)) + F.log((1 - x) / x)).alias("l"), (a["s"] + F.exp(a["l"])).alias("s"))
+        return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.aggregate(F.sequence(n, i, F.lit(-1)), first, step, lambda a: F.least(a["s"], F.lit(1.0))))
+
+    def least(own: Column) -> Column:
+        n = F.size(own)
+        return F.when(n == 0, F.lit(float("nan"))).otherwise(F.least(F.lit(1.0), n * F.array_min(F.transform(own, lambda x, i: tail(x, i + 1, n)))))
+
+    return let(own, least)
+
+
+def _stuart(own: Column) -> Column:
+    """Probability that sorted uniform numbers lie below the sorted ranks: u_k = sum of (-1)^(i-1) C(k, i) x^i u_(k-i), x the k-th largest rank."""
+
+    def after(own: Column) -> Column:
+        n = F.size(own)
+
+        def following(u: Column, k: Column) -> Column:
+            x = F.element_at(own, n - k + 1)
+            first = F.struct(F.lit(-1.0).alias("b"), F.lit(0.0).alias("s"))
+            step = lambda a, i: let(-a["b"] * (k - i + 1) / i * x, lambda b: F.struct(b.alias("b"), (a["s"] + b * F.element_at(u, k - i + 1)).alias("s")))
+            return F.concat(u, F.array(F.aggregate(F.sequence(F.lit(1), k), first, step, lambda a: a["s"])))
+
+        return F.when(n == 0, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(1.0)), following, lambda u: F.element_at(u, -1)))
+
+    return let(own, after)
+
+
+def _owa(r: Column, risk: float) -> Column:
+    """Ranks from worst to best, weighed by a cut normal density over 0 .. 1."""
+    own, shape = F.sort_array(r, asc=False), fusing.owa_shape(risk)
+
+    def average(own: Column) -> Column:
+        n = F.size(own)
+        at = lambda i: i / (n - 1)
+        if shape is None:  # all on the rank nearest to the risk; of two the worse
+            gap = F.transform(own, lambda x, i: F.abs(at(i) - risk))
+            weighed = F.element_at(own, F.array_position(gap, F.array_min(gap)).cast("int"))
+        else:
+            logs = F.transform(own, lambda x, i: -F.pow((at(i) - shape[0]) / shape[1], F.lit(2.0)) / 2)
+            weighed = let(logs, lambda logs: let(F.transform(logs, lambda v: F.exp(v - F.array_max(logs))), lambda w: _total(F.zip_with(own, w, lambda x, y: x * y)) / _total(w)))
+        return F.when(n == 1, F.element_at(own, 1)).otherwise(weighed)
+
+    return let(own, average)
+
+
 def score(method: str, risk: float = 0.5, exact: bool = False, cutoff: list[float] | None = None) -> Column:
-    """Score of the ranks ``r``, lower is better. Min, median, geometric mean run in the JVM."""
+    """Score of the ranks ``r``, lower is better, in the JVM but for RRA with ``exact`` or ``cutoff``."""
     r = F.col("r")
     known = F.filter(r, lambda x: ~F.isnan(x))
     if method == "min":
@@ -48,13 +128,15 @@ def score(method: str, risk: float = 0.5, exact: bool = False, cutoff: list[floa
     if method == "geom.mean":
         return F.exp(F.aggregate(known, F.lit(0.0), lambda a, x: a + F.log(x)) / F.size(known))
     if method == "mean":
-        return _numpy(lambda x: fusing.normal_cdf(float(np.nanmean(x)), 0.5, (1 / 12 / np.count_nonzero(~np.isnan(x))) ** 0.5))
+        return let(known, lambda k: normal_cdf((_total(k) / F.size(k) - 0.5) * F.sqrt(12 * F.size(k))))
     if method == "stuart":
-        return _numpy(fusing.stuart)
+        return _stuart(F.sort_array(known))
+    if method == "RRA" and cutoff is not None:
+        return _numpy(lambda x: fusing.threshold_rra(x, np.asarray(cutoff)))
     if method == "RRA":
-        return _numpy((lambda x: fusing.threshold_rra(x, np.asarray(cutoff))) if cutoff is not None else (lambda x: fusing.rra(x, exact)))
+        return _numpy(lambda x: fusing.rra(x, True)) if exact else _rra(F.sort_array(known))
     if method == "owa":
-        return _numpy(lambda x: fusing.owa(x, fusing.owa_weights(len(x), risk)))
+        return _owa(r, risk)
     raise ValueError(f"unknown method {method}; there are {', '.join(METHODS)}")
 
 
@@ -71,6 +153,28 @@ def rankings(weights: DataFrame, keys: tuple[str, ...] = ("p", "bag"), digits: i
     return weights.select(*keys, F.col("f").cast("string").alias("item"), (F.row_number().over(order) - 1).alias("pos"))
 
 
+#: Pairs of risks that the sweep tries with ordered averages: cautious to bold, first over bags, then over groups.
+RISKS = (0.95, 0.75, 0.50, 0.25, 0.05)
+
+
+def sweep(weights: DataFrame, risks: tuple[float, ...] = RISKS) -> DataFrame:
+    """setting, item, score, pos: two-level fusion by every method, and by owa with every pair of risks, of one table of weights.
+
+    Rankings are made once; a setting is a column of scores, not another pass.
+    """
+    inner = rank_rows(rankings(weights).withColumnRenamed("bag", "list_id"), None, ("p",))
+    plain = [m for m in METHODS if m != "owa"]
+    first = [(m, score(m)) for m in plain] + [(f"owa {a:g}", score("owa", a)) for a in risks]
+    one = inner.select("p", "item", F.explode(F.array(*[F.struct(F.lit(n).alias("one"), c.alias("score")) for n, c in first])).alias("s")).select("p", "item", "s.*")
+    place = Window.partitionBy("p", "one").orderBy(F.round("score", 12), F.col("item").cast("string"))
+    lists = one.select(F.col("p").alias("list_id"), "one", "item", (F.row_number().over(place) - 1).alias("pos"))
+    outer = rank_rows(lists, None, ("one",))
+    second = F.array(*[F.struct(F.concat(F.lit(m)).alias("setting"), score(m).alias("score"), F.lit(m).alias("of")) for m in plain], *[F.struct(F.concat(F.col("one"), F.lit(f" {b:g}")).alias("setting"), score("owa", b).alias("score"), F.lit("owa").alias("of")) for b in risks])
+    both = outer.select("one", "item", F.explode(second).alias("s")).filter((F.col("one") == F.col("s.of")) | (F.col("one").startswith("owa") & (F.col("s.of") == "owa"))).select("s.setting", "item", "s.score")
+    last = Window.partitionBy("setting").orderBy(F.round("score", 12), F.col("item").cast("string"))
+    return both.withColumn("pos", F.row_number().over(last) - 1)
+
+
 def two_level(weights: DataFrame, first: str = "min", second: str = "min", first_risk: float = 0.05, second_risk: float = 0.95) -> DataFrame:
     """item, score, pos: rankings fused over bags within each group, then over groups. Only orders pass from level to level."""
     inner = fuse(rankings(weights).withColumnRenamed("bag", "list_id"), first, keys=("p",), risk=first_risk)

@@ -45,7 +45,7 @@ def contingency(binned: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def relevance(binned: DataFrame, keys: tuple[str, ...] = (), label: str = "label", normalised: bool = True) -> DataFrame:
-    """(keys), f, v: similarity of each feature and the label alone."""
+    """(keys), f, v: similarity of each feature and the label alone. A constant feature and a constant label: NaN."""
     counts = binned.groupBy(*keys, "f", "bin", F.col(label).alias("z")).agg(F.count("*").alias("n"))
 
     def entropy(cells: list[str], name: str) -> DataFrame:
@@ -55,7 +55,7 @@ def relevance(binned: DataFrame, keys: tuple[str, ...] = (), label: str = "label
 
     own = entropy(["bin"], "hx").join(entropy(["z"], "hz"), [*keys, "f"]).join(entropy(["bin", "z"], "hxz"), [*keys, "f"])
     mi = F.col("hx") + F.col("hz") - F.col("hxz")
-    return own.select(*keys, "f", (2 * mi / F.nullif(F.col("hx") + F.col("hz"), F.lit(0.0)) if normalised else mi).alias("v"))
+    return own.select(*keys, "f", (F.coalesce(2 * mi / F.nullif(F.col("hx") + F.col("hz"), F.lit(0.0)), F.lit(float("nan"))) if normalised else mi).alias("v"))
 
 
 def _joint(table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -106,16 +106,28 @@ def _entropy(counts: np.ndarray, axes) -> np.ndarray:
 
 
 def _onehot(bins: np.ndarray, size: int) -> np.ndarray:
-    return (bins[:, :, None] == np.arange(size)).astype(np.float32)
+    return (bins[:, :, None] == np.arange(size)).astype(np.float32).reshape(len(bins), -1)
+
+
+#: Rows whose counts are one product; float32 counts exactly up to 2**24.
+CHUNK = 1 << 16
+
+
+def joint_counts(bins: np.ndarray, size: int) -> np.ndarray:
+    """How often feature x is in bin i while y is in j, as (x, y, i, j): products of one-hot chunks, added up exactly."""
+    n, f = bins.shape
+    total = np.zeros((f * size, f * size), np.float64 if n >= 1 << 24 else np.float32)
+    for a in range(0, n, CHUNK):
+        own = _onehot(bins[a : a + CHUNK], size)
+        total += own.T @ own
+    return total.reshape(f, size, f, size).transpose(0, 2, 1, 3)
 
 
 def similarity_matrix(bins: np.ndarray, normalised: bool = True) -> np.ndarray:
-    """bins: rows x features, small numbers from 0. Joint counts are one product of the one-hot matrix with itself."""
+    """bins: rows x features, small numbers from 0. Two constant features: NaN."""
     n, f = bins.shape
-    k = int(bins.max()) + 1 if n else 1
-    o = _onehot(bins, k).reshape(n, f * k)
-    joint = (o.T @ o).reshape(f, k, f, k).transpose(0, 2, 1, 3)
-    hxy, h = _entropy(joint, (2, 3)), _entropy(o.sum(axis=0).reshape(f, k), 1)
+    joint = joint_counts(bins, int(bins.max()) + 1 if n else 1)
+    hxy, h = _entropy(joint, (2, 3)), _entropy(joint[np.arange(f), np.arange(f)].sum(axis=2), 1)
     mi = h[:, None] + h[None, :] - hxy
     with np.errstate(divide="ignore", invalid="ignore"):
         out = 2 * mi / (h[:, None] + h[None, :]) if normalised else mi
@@ -126,13 +138,9 @@ def similarity_matrix(bins: np.ndarray, normalised: bool = True) -> np.ndarray:
 def conditional_matrix(bins: np.ndarray, label: np.ndarray) -> np.ndarray:
     n, f = bins.shape
     k = int(bins.max()) + 1 if n else 1
-    o, joint = _onehot(bins, k).reshape(n, f * k), []
-    for z in np.unique(label):
-        own = o[label == z]
-        joint.append((own.T @ own).reshape(f, k, f, k).transpose(0, 2, 1, 3))
-    cube = np.stack(joint, axis=-1)
+    cube = np.stack([joint_counts(bins[label == z], k) for z in np.unique(label)], axis=-1)
     hxyz, hxy = _entropy(cube, (2, 3, 4)), _entropy(cube.sum(axis=-1), (2, 3))
-    single = np.stack([o[label == z].sum(axis=0).reshape(f, k) for z in np.unique(label)], axis=-1)
+    single = cube[np.arange(f), np.arange(f)].sum(axis=2)
     hxz, hx, hz = _entropy(single, (1, 2)), _entropy(single.sum(axis=-1), 1), _entropy(single.sum(axis=1), 1)
     out = 0.5 * (2 * hxy + hxz[None, :] + hxz[:, None] - 2 * hxyz - hx[None, :] - hx[:, None])
     np.fill_diagonal(out, hx + hz - hxz)

@@ -1,8 +1,9 @@
 """Differences, distances, nearest and furthest neighbours.
 
-Neighbours are found block by block: rows of a group are dealt to ``blocks`` blocks by a hash of their id, each pair of
-(query block, row block) is one task's work in numpy, which returns at most k neighbours of each query, and a window
-merges them. No pair of rows is ever a row of a table, and ties go to the smaller id.
+Neighbours are found block by block: queries and rows of a group are dealt to blocks of about ``ROWS`` by a hash of their
+id, as many as the group's size asks for; each pair of (query block, row block) is one task's work in numpy, which
+returns at most k neighbours of each query, and a window merges them. No pair of rows is ever a row of a table, and ties
+go to the smaller id.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries, and rows, of a block: a matrix of distances has at most about the square of it.
+ROWS = 2048
+
 
 def difference(a: Column, b: Column, nominal: Column | None = None) -> Column:
     """Feature by feature: signed difference; 0 or 1 where nominal. Unequal lengths raise."""
@@ -41,17 +45,31 @@ def _distance(a: np.ndarray, b: np.ndarray, metric: str, nominal: np.ndarray | N
     return out
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", keys: tuple[str, ...] = (), relation: str = "any", furthest: bool = False, threshold: int = 1, blocks: int = 1, digits: int = 9, nominal: list[bool] | None = None, must_have: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", keys: tuple[str, ...] = (), relation: str = "any", furthest: bool = False, blocks: int | None = None, digits: int = 9, nominal: list[bool] | str | None = None, must_have: bool = False) -> DataFrame:
     """(keys), id, label, n_id, n_label, dist, rank.
 
     Both tables: keys, draw (names a row; repeats of a row have several), id, label, features. A row is not its own
     neighbour (nor are its repeats). relation: any; hit (same label); miss (another label); each (k of every label).
-    nominal: flags of the features (see prep.nominal). Distances are rounded to ``digits`` before they are compared.
+    nominal: flags of the features, or the name of a column of both tables that has them as an array, alike in a group
+    (see prep.nominal_flags). blocks: how many a group is cut into; None: by its size. Distances are rounded to ``digits`` before they are compared.
     must_have: raises where a query has fewer than k neighbours.
     """
-    flags = np.array(nominal) if nominal is not None else None
-    side = lambda df, q, other: df.select(*keys, "draw", "id", F.col("label").cast("double").alias("label"), "features", F.lit(q).alias("q"), F.pmod(F.xxhash64("draw"), F.lit(blocks)).alias("_own")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"_i": F.col("_own") if q else F.col("_other"), "_j": F.col("_other") if q else F.col("_own")}).drop("_own", "_other")  # noqa: E731, ARG005
-    both = side(queries, True, blocks).unionByName(side(rows, False, blocks))
+    flagged = (lambda df: df.withColumn("_flags", F.col(nominal) if isinstance(nominal, str) else F.array(*map(F.lit, nominal)) if nominal else F.lit(None).cast("array<boolean>")))
+    if blocks is None:
+        parts = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / ROWS).cast("int").alias(name))
+        a, b = parts(queries, "_nq"), parts(rows, "_nr")
+        cuts = a.join(b, list(keys)) if keys else a.crossJoin(b)  # a row for each group; without keys, one
+        cut = lambda df: df.join(cuts, list(keys)) if keys else df.crossJoin(F.broadcast(cuts))
+    else:
+        cut = lambda df: df.withColumns({"_nq": F.lit(blocks), "_nr": F.lit(blocks)})
+
+    def side(df: DataFrame, q: bool) -> DataFrame:
+        own, other = ("_nq", "_nr") if q else ("_nr", "_nq")
+        df = cut(flagged(df.withColumn("label", F.col("label").cast("double"))).select(*keys, "draw", "id", "label", "features", "_flags", F.lit(q).alias("q")))
+        df = df.withColumns({"_own": F.pmod(F.xxhash64("draw"), F.greatest(F.col(own), F.lit(1))).cast("int"), "_other": F.explode(F.sequence(F.lit(0), F.greatest(F.col(other), F.lit(1)) - 1))})
+        return df.withColumns({"_i": F.col("_own" if q else "_other"), "_j": F.col("_other" if q else "_own")}).drop("_own", "_other", "_nq", "_nr")
+
+    both = side(queries, True).unionByName(side(rows, False))
     kinds = dict(both.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), f"draw {kinds['draw']}", f"id {kinds['id']}", "label double", f"n_draw {kinds['draw']}", f"n_id {kinds['id']}", "n_label double", "dist double"])
 
@@ -59,6 +77,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidea
         a, b = pdf[pdf.q], pdf[~pdf.q]
         if not len(a) or not len(b):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        flags = pdf["_flags"].iloc[0]
+        flags = None if flags is None else np.asarray(flags, bool)
         d = np.round(_distance(np.stack(a.features.to_numpy()), np.stack(b.features.to_numpy()), metric, flags), digits)
         same_row, same_label = a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :], a.label.to_numpy()[:, None] == b.label.to_numpy()[None, :]
         allowed = ~same_row & {"any": True, "each": True, "hit": same_label, "miss": ~same_label}[relation]

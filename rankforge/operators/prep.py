@@ -63,9 +63,36 @@ def discretise(long: DataFrame, bins: int = 10, bounds: DataFrame | None = None,
     return own.withColumn("bin", out).drop("mn", "mx")
 
 
-def quantile_bins(long: DataFrame, id_col: str, bins: int) -> DataFrame:
-    """Adds ``bin``: equal-frequency bins from 0, exactly, ties by id."""
-    return long.withColumn("bin", (F.ntile(bins).over(Window.partitionBy("f").orderBy("v", id_col)) - 1).cast("int"))
+def prepare(df: DataFrame, columns: list[str], label: str, carry: tuple[str, ...] = (), low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """carried columns, features scaled to [low, high] by their bounds over all rows, label index: assembly, scaling and indexing as one plan.
+
+    A constant feature becomes the middle of the range. Bounds are one row with an entry for each feature.
+    """
+    own = index_labels(assemble(df, columns, label, carry))
+    bounds = minmax(to_long(own, ())).agg(F.array_sort(F.collect_list(F.struct("f", "mn", "mx"))).alias("_b"))
+    scaled_ = F.zip_with("features", "_b", lambda v, b: F.lit(low) + F.lit(high - low) * scaled(v, b["mn"], b["mx"], nan_to_zero=False))
+    return own.join(F.broadcast(bounds)).select(*carry, scaled_.alias("features"), "label")
+
+
+#: Ranges of values of a feature that are numbered apart.
+RANGES = 64
+
+
+def quantile_bins(long: DataFrame, id_col: str, bins: int, ranges: int = RANGES) -> DataFrame:
+    """Adds ``bin``: equal-frequency bins from 0, exactly, ties by id. With fewer rows than bins, and for the rest of a division, lower bins are larger, as ``ntile`` deals them.
+
+    Rows are numbered within ranges of values (approximate quantiles of each feature), and the ranges' sizes summed, so
+    that a feature is not one task's work. Rows of one value share a range.
+    """
+    cuts = long.groupBy("f").agg(F.array_distinct(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10 * ranges)).alias("_cuts"))
+    own = long.join(cuts, "f").withColumn("_range", F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col("v")).cast("int"))).drop("_cuts")
+    size = own.groupBy("f", "_range").agg(F.count("*").alias("_n"))
+    per = Window.partitionBy("f")
+    before = size.withColumns({"_before": F.coalesce(F.sum("_n").over(per.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_n").over(per)}).drop("_n")
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("f", "_range").orderBy("v", id_col)) - 1
+    whole, rest = F.floor(F.col("_total") / bins), F.col("_total") % bins
+    bin_ = F.when(F.col("_at") < rest * (whole + 1), F.floor(F.col("_at") / (whole + 1))).otherwise(rest + F.floor((F.col("_at") - rest * (whole + 1)) / F.greatest(whole, F.lit(1))))
+    return own.join(before, ["f", "_range"]).withColumn("_at", at).withColumn("bin", bin_.cast("int")).select(*[own[c] for c in long.columns], "bin")
 
 
 def quantile_discretiser(columns: list[str], bins: int) -> QuantileDiscretizer:
@@ -76,3 +103,17 @@ def quantile_discretiser(columns: list[str], bins: int) -> QuantileDiscretizer:
 def nominal(long: DataFrame, threshold: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys), f, n_values, is_nominal: fewer distinct values than the threshold."""
     return long.groupBy(*keys, "f").agg(F.countDistinct("v").alias("n_values")).withColumn("is_nominal", F.col("n_values") < threshold)
+
+
+def nominal_flags(rows: DataFrame, threshold: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, nominal: an array with a flag for each feature of ``features``, over the rows of each group.
+
+    Features with far more values than the threshold are told by an approximate count, so that only values of the few
+    others are shuffled.
+    """
+    own = to_long(rows, keys)
+    rough = own.groupBy(*keys, "f").agg(F.approx_count_distinct("v", 0.05).alias("_n"))
+    few = rough.filter(F.col("_n") < 4 * threshold + 16).select(*keys, "f")
+    exact = nominal(own.join(few, [*keys, "f"], "left_semi"), threshold, keys).filter("is_nominal").select(*keys, "f", F.lit(True).alias("_is"))
+    flags = rough.join(exact, [*keys, "f"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("f", F.coalesce("_is", F.lit(False)).alias("n")))).alias("_flags"))
+    return flags.select(*keys, F.transform("_flags", lambda x: x["n"]).alias("nominal"))

@@ -9,23 +9,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import balance, fusion, prep, rankers
+from ..sources import io
 
 _ONE_BAG = ("smote", "nearmiss1", "nearmiss2")
 
 
-def balanced(rows: DataFrame, method: str, bags: int, k: int, seed: int) -> DataFrame:
-    """p, bag, draw, id, label, features of the balanced bags. rows: p, id, label, features."""
+def balanced(rows: DataFrame, method: str, bags: int, k: int, seed: int, threshold: int = 1) -> DataFrame:
+    """p, bag, draw, id, label, features of the balanced bags. rows: p, id, label, features.
+
+    threshold: features with fewer distinct values in their group are nominal where neighbours are sought (1: none).
+    """
     text = F.col("id").cast("string")
     if method == "none":
         return rows.select("p", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag"), text.alias("draw"), "id", "label", "features")
     if method == "baggingundersampling":
         picks = balance.bagging(rows, bags, "id", seed).select("p", "bag", "draw", "id")
         return picks.join(rows, ["p", "id"]).select("p", "bag", "draw", "id", "label", "features")
+    flags = "nominal" if threshold > 1 and method in _ONE_BAG else None
+    marked = rows.join(prep.nominal_flags(rows, threshold, ("p",)), "p") if flags else rows
     if method in ("nearmiss1", "nearmiss2"):
-        kept = balance.near_miss(rows, k, "id", method == "nearmiss2").select("p", "id")
+        kept = balance.near_miss(marked, k, "id", method == "nearmiss2", nominal=flags).select("p", "id")
         return kept.join(rows, ["p", "id"]).select("p", F.lit(0).alias("bag"), text.alias("draw"), "id", "label", "features")
     if method == "smote":
-        made = balance.smote(rows, k, "id", seed).select("p", F.concat_ws("-", F.lit("s"), text, F.col("i").cast("string")).alias("draw"), (-F.col("id") - 1).alias("id"), "label", "features")
+        made = balance.smote(marked, k, "id", seed, nominal=flags).select("p", F.concat_ws("-", F.lit("s"), text, F.col("i").cast("string")).alias("draw"), (-F.col("id") - 1).alias("id"), "label", "features")
         return rows.select("p", text.alias("draw"), "id", "label", "features").unionByName(made).select("p", F.lit(0).alias("bag"), "draw", "id", "label", "features")
     raise ValueError(f"unknown balancing method {method}")
 
@@ -37,8 +43,11 @@ def weights(df: DataFrame, method: str = "QPFS", balancing: str = "baggingunders
     own = df.join(F.broadcast(bounds))
     scaled = F.zip_with("features", "b", lambda v, b: prep.scaled(v.cast("double"), b["mn"], b["mx"]))
     rows = balance.spread_classes(own.select("id", "label", scaled.alias("features")), groups, "id")
-    bagged = balanced(rows, balancing, bags, k, seed)
+    # balancing and weighing read their rows many times
+    rows = io.cut_lineage(rows) if balancing != "none" else rows
+    bagged = balanced(rows, balancing, bags, k, seed, threshold)
     if method == "ReliefF":
+        bagged = io.cut_lineage(bagged)
         return rankers.relieff(bagged, samples, neighbours, seed, ("p", "bag"), threshold)
     return rankers.by_matrix(bagged, method, bins)
 
@@ -93,10 +102,14 @@ class EnsembleRanker(Estimator, _Settings):
 
     def _fit(self, df: DataFrame) -> RankModel:
         rows = df.select(F.col(self.of("idCol")).cast("long").alias("id"), F.col(self.of("labelCol")).cast("double").alias("label"), F.col(self.of("featuresCol")).cast("array<double>").alias("features"))
-        rows = rows.persist() if self.of("useCache") else rows
+        cached = rows.persist() if self.of("useCache") else None
         found = weights(rows, self.of("rankingMethod"), self.of("balancingMethod"), self.of("numPartition"), self.of("bagNum"), self.of("maxBin"), self.of("neiNumber"), self.of("numSamples"), self.of("numNeighbours"), self.of("seed"), self.of("thrNominal"))
         # a row for each group, bag and feature; fusion settings can then change without another fit
-        return self._copyValues(RankModel(found.persist()))
+        found = found.persist()
+        if cached is not None:
+            found.count()  # the prepared rows have then been used
+            cached.unpersist()
+        return self._copyValues(RankModel(found))
 
 
 class RankModel(Model, _Settings):
@@ -105,6 +118,10 @@ class RankModel(Model, _Settings):
         self._declare()
         self.weights = found
 
+    def release(self) -> None:
+        """Gives the kept weights back; later calls compute them anew."""
+        self.weights.unpersist()
+
     def ranks(self) -> DataFrame:
         """item, score, pos: features best first."""
         return fusion.two_level(self.weights, self.of("firstFusionMethod"), self.of("secondFusionMethod"), self.of("firstRiskFusion"), self.of("secondRiskFusion"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -226,8 +225,7 @@ def owa_weights(spark, sf):
 
 # ------------------------------------------------------------------------------------------------ files
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="files-")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    return f"{io.shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def csv_roundtrip(spark, sf):
