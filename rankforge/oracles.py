@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from .functions.fusing import owa_weights
+from .operators.fusion import RISKS
 from .queries import GROUPS, NUMERIC, OWA_RISK
 
 E = "e AS (SELECT vec_id AS id, label, unnest(range(len(embedding)))::INT AS f, unnest(embedding)::DOUBLE AS v FROM embeddings)"
@@ -67,12 +70,12 @@ r AS (SELECT s.p, id, score, n, row_number() OVER (PARTITION BY s.p ORDER BY sco
 SELECT p, id, false AS is_minority, score FROM r WHERE k <= n UNION ALL SELECT sp.p, id, true, NULL FROM sp JOIN mn ON sp.p = mn.p AND sp.label = mn.label"""
 
 
-BAGGING = f"""WITH {_spread()}, {MINORITY},
+BAG = f"""{_spread()}, {MINORITY},
 o AS (SELECT sp.p, id, row_number() OVER (PARTITION BY sp.p ORDER BY id) - 1 AS k FROM sp JOIN mn ON sp.p = mn.p AND sp.label <> mn.label),
 sz AS (SELECT o.p, count(*) AS m, any_value(n) AS n FROM o JOIN mn ON o.p = mn.p GROUP BY o.p),
-pk AS (SELECT p, bag, i, {_draw("'5341-' || p || '-' || bag || '-' || i")} % m AS k FROM (SELECT p, m, unnest(range(1, n + 1)) AS i, n FROM sz), (SELECT unnest([0, 1, 2]) AS bag))
-SELECT pk.p, bag, 'o' || i AS draw, o.id, false AS is_minority FROM pk JOIN o ON pk.p = o.p AND pk.k = o.k
-UNION ALL SELECT sp.p, bag, 'm' || id, id, true FROM sp JOIN mn ON sp.p = mn.p AND sp.label = mn.label, (SELECT unnest([0, 1, 2]) AS bag)"""
+pk AS (SELECT p, bag, i, {_draw("'5341-' || p || '-' || bag || '-' || i")} % m AS k FROM (SELECT p, m, unnest(range(1, n + 1)) AS i, n FROM sz), (SELECT unnest([0, 1, 2]) AS bag)),
+bg AS (SELECT pk.p, bag, 'o' || i AS draw, o.id, false AS is_minority FROM pk JOIN o ON pk.p = o.p AND pk.k = o.k
+UNION ALL SELECT sp.p, bag, 'm' || id, id, true FROM sp JOIN mn ON sp.p = mn.p AND sp.label = mn.label, (SELECT unnest([0, 1, 2]) AS bag))"""
 
 SMOTE = f"""WITH {_spread()}, {MINORITY}, {VEC}, mi AS (SELECT ve.* FROM ve JOIN mn ON ve.p = mn.p AND ve.label = mn.label),
 d AS (SELECT a.p, a.id, b.id AS n_id, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 9) AS dist FROM mi a JOIN mi b ON a.p = b.p AND a.f = b.f AND a.id <> b.id GROUP BY a.p, a.id, b.id),
@@ -98,21 +101,76 @@ d AS (SELECT a.id, any_value(a.label) AS label, b.id AS n_id, any_value(b.label)
 n AS (SELECT *, row_number() OVER (PARTITION BY id, n_label ORDER BY dist, n_id) AS k FROM d)
 SELECT a.f, round(sum(CASE WHEN n.label = n_label THEN -1.0 ELSE q.pr / (1 - o.pr) END * abs(a.v - b.v)), 6) AS w FROM n JOIN pr o ON o.label = n.label JOIN pr q ON q.label = n_label JOIN x a ON a.id = n.id JOIN x b ON b.id = n_id AND b.f = a.f WHERE k <= 10 GROUP BY a.f"""
 
+#: Bags, their neighbours by class, weights of features, and both fusions by the least rank.
+ENSEMBLE_RELIEFF = f"""WITH {E}, {MM}, {SC}, {BAG},
+r AS (SELECT bg.p, bag, draw, bg.id, sp.label FROM bg JOIN sp ON bg.id = sp.id), x AS (SELECT r.*, f, v FROM r JOIN sc ON sc.id = r.id),
+pr AS (SELECT p, bag, label, count(*) / sum(count(*)) OVER (PARTITION BY p, bag)::DOUBLE AS pr FROM r GROUP BY p, bag, label),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p, bag ORDER BY md5('5341-' || p || '-' || bag || '-' || draw), draw) AS k FROM r) WHERE k <= 20),
+d AS (SELECT a.p, a.bag, a.draw, any_value(a.label) AS label, b.draw AS n_draw, any_value(b.label) AS n_label, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 9) AS dist
+  FROM x a JOIN s ON s.p = a.p AND s.bag = a.bag AND s.draw = a.draw JOIN x b ON a.p = b.p AND a.bag = b.bag AND a.f = b.f AND a.id <> b.id GROUP BY a.p, a.bag, a.draw, b.draw),
+n AS (SELECT *, row_number() OVER (PARTITION BY p, bag, draw, n_label ORDER BY dist, n_draw) AS k FROM d),
+w AS (SELECT n.p, n.bag, a.f, round(sum(CASE WHEN n.label = n_label THEN -1.0 ELSE q.pr / (1 - o.pr) END * abs(a.v - b.v)), 12) AS w FROM n
+  JOIN pr o ON o.p = n.p AND o.bag = n.bag AND o.label = n.label JOIN pr q ON q.p = n.p AND q.bag = n.bag AND q.label = n_label
+  JOIN x a ON a.p = n.p AND a.bag = n.bag AND a.draw = n.draw JOIN x b ON b.p = n.p AND b.bag = n.bag AND b.draw = n_draw AND b.f = a.f WHERE k <= 20 GROUP BY n.p, n.bag, a.f),
+l AS (SELECT p, bag, f::VARCHAR AS item, row_number() OVER (PARTITION BY p, bag ORDER BY w DESC, f DESC) AS pos FROM w),
+g AS (SELECT p, item, row_number() OVER (PARTITION BY p ORDER BY min(pos), item) AS pos FROM l GROUP BY p, item),
+t AS (SELECT item, min(pos) / (SELECT count(DISTINCT f) FROM w)::DOUBLE AS score FROM g GROUP BY item)
+SELECT item, round(score, 9) AS score, (row_number() OVER (ORDER BY round(score, 12), item) - 1)::INT AS pos FROM t"""
+
 LISTS = f"{E}, w AS (SELECT id % 4 AS l, f, round(avg(v), 9) AS w FROM e GROUP BY ALL), ls AS (SELECT l, f::VARCHAR AS item, row_number() OVER (PARTITION BY l ORDER BY w DESC, f DESC) AS pos FROM w), r AS (SELECT item, list_sort(list(pos / (SELECT count(DISTINCT f) FROM w)::DOUBLE)) AS r FROM ls GROUP BY item)"
 
 
-def _fuse(score: str, show: bool = True) -> str:
-    return f"WITH {LISTS}, s AS (SELECT item, {score} AS score FROM r) SELECT item, {'round(score, 8) AS score, ' if show else ''}(row_number() OVER (ORDER BY round(score, 12), item) - 1)::INT AS pos FROM s"
+def _fuse(score: str) -> str:
+    return f"WITH {LISTS}, s AS (SELECT item, {score} AS score FROM r) SELECT item, round(score, 8) AS score, (row_number() OVER (ORDER BY round(score, 12), item) - 1)::INT AS pos FROM s"
+
+
+def _stuart(n: int) -> str:
+    """The recursion written out for n sorted ranks."""
+    v, powers = ["1.0::DOUBLE"], [1]
+    for k in range(1, n + 1):
+        powers.append(powers[-1] * k)
+        v.append("(" + " ".join(f"{'-' if i % 2 == 0 else '+'} {v[k - i]} * r[{n - k + 1}] ** {i} / {powers[i]}" for i in range(1, k + 1)) + ")")
+    return f"{powers[n]} * {v[n]}"
+
+
+def _rra(n: int) -> str:
+    """n times the least binomial tail."""
+    choose = lambda j: factorial(n) // factorial(j) // factorial(n - j)
+    tails = ["(" + " + ".join(f"{choose(j)} * r[{i}] ** {j} * (1 - r[{i}]) ** {n - j}" for j in range(i, n + 1)) + ")" for i in range(1, n + 1)]
+    return f"least(1.0::DOUBLE, {n} * least({', '.join(tails)}))"
 
 
-def _stuart() -> str:
-    v1, v2 = "r[4]", "(r[4] * r[3] - r[3] ** 2 / 2)"
-    v3 = f"({v2} * r[2] - {v1} * r[2] ** 2 / 2 + r[2] ** 3 / 6)"
-    return f"24 * ({v3} * r[1] - {v2} * r[1] ** 2 / 2 + {v1} * r[1] ** 3 / 6 - r[1] ** 4 / 24)"
+def _mean(n: int) -> str:
+    """Normal distribution by its odd series; (2 k + 1)!! by way of gamma."""
+    z = f"((({' + '.join(f'r[{i + 1}]' for i in range(n))}) / {n} - 0.5::DOUBLE) * sqrt({12 * n}.0::DOUBLE))"
+    return f"(0.5::DOUBLE + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 70), lambda k: {z} ** (2 * k + 1) * sqrt(pi()) / (2.0::DOUBLE ** (k + 1) * gamma(k + 1.5)))))"
 
 
-_OWA = " + ".join(f"r[{4 - i}] * {w!r}" for i, w in enumerate(owa_weights(4, OWA_RISK)))
-_RRA = "least(1.0, 4 * least(1 - (1 - r[1]) ** 4, 6 * r[2] ** 2 * (1 - r[2]) ** 2 + 4 * r[2] ** 3 * (1 - r[2]) + r[2] ** 4, 4 * r[3] ** 3 * (1 - r[3]) + r[3] ** 4, r[4] ** 4))"
+def _owa(n: int, risk: float) -> str:
+    return "(" + " + ".join(f"r[{n - i}] * {w!r}::DOUBLE" for i, w in enumerate(owa_weights(n, risk))) + ")"
+
+
+def _scores(n: int) -> dict[str, str]:
+    """Of n sorted ranks r, by method."""
+    return {
+        "min": "r[1]", "median": f"r[{n // 2 + 1}]", "geom.mean": f"exp(({' + '.join(f'ln(r[{i + 1}])' for i in range(n))}) / {n})",
+        "mean": _mean(n), "RRA": _rra(n), "stuart": _stuart(n), **{f"owa {a:g}": _owa(n, a) for a in RISKS},
+    }
+
+
+def _sweep() -> str:
+    """All settings: scores over the three bags of a group, positions, scores over the four groups, positions."""
+    first, second = _scores(3), _scores(4)
+    settings = [(m, m, m) for m in first if not m.startswith("owa")] + [(f"{a} {b[4:]}", a, b) for a in first for b in second if a.startswith("owa") and b.startswith("owa")]
+    ones = " UNION ALL ".join(f"SELECT p, item, '{m}' AS one, {f} AS score FROM ra" for m, f in first.items())
+    both = " UNION ALL ".join(f"SELECT '{s}' AS setting, item, {second[b]} AS score FROM rb WHERE one = '{a}'" for s, a, b in settings)
+    return f"""WITH {E}, w AS (SELECT id % 4 AS p, (id // 4) % 3 AS bag, f, round(avg(v), 9) AS w FROM e GROUP BY ALL), nf AS (SELECT count(DISTINCT f)::DOUBLE AS n FROM w),
+a AS (SELECT p, bag, f::VARCHAR AS item, row_number() OVER (PARTITION BY p, bag ORDER BY w DESC, f DESC) AS pos FROM w),
+ra AS (SELECT p, item, list_sort(list(pos / (SELECT n FROM nf))) AS r FROM a GROUP BY p, item), s1 AS ({ones}),
+b AS (SELECT p, one, item, row_number() OVER (PARTITION BY p, one ORDER BY round(score, 12), item) AS pos FROM s1),
+rb AS (SELECT one, item, list_sort(list(pos / (SELECT n FROM nf))) AS r FROM b GROUP BY one, item), s2 AS ({both})
+SELECT setting, item, round(score, 8) AS score, (row_number() OVER (PARTITION BY setting ORDER BY round(score, 12), item) - 1)::INT AS pos FROM s2"""
+
 
 TWO_LEVEL = f"""WITH {E}, w AS (SELECT id % 4 AS p, (id // 4) % 3 AS bag, f, round(avg(v), 9) AS w FROM e GROUP BY ALL), nf AS (SELECT count(DISTINCT f)::DOUBLE AS n FROM w),
 a AS (SELECT p, bag, f::VARCHAR AS item, row_number() OVER (PARTITION BY p, bag ORDER BY w DESC, f DESC) AS pos FROM w),
@@ -142,7 +200,7 @@ SQL = {
     "label_index": "SELECT o_orderpriority AS value, count(*) AS n, (row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1)::DOUBLE AS idx FROM orders GROUP BY o_orderpriority",
     "class_spread_counts": f"WITH {_spread()} SELECT p, label, count(*) AS n FROM sp GROUP BY p, label",
     "minority_split": f"WITH {_spread()}, {MINORITY} SELECT * FROM mn",
-    "bagging_undersample": BAGGING,
+    "bagging_undersample": f"WITH {BAG} SELECT * FROM bg",
     "nearmiss1": _near_miss(""),
     "nearmiss2": _near_miss("DESC"),
     "smote_synthetic": SMOTE,
@@ -163,10 +221,16 @@ SQL = {
     "fuse_min": _fuse("r[1]"),
     "fuse_median": _fuse("r[3]"),
     "fuse_geom_mean": _fuse("exp((ln(r[1]) + ln(r[2]) + ln(r[3]) + ln(r[4])) / 4)"),
-    "fuse_mean": _fuse("(r[1] + r[2] + r[3] + r[4]) / 4", False),
-    "fuse_rra": _fuse(_RRA),
-    "fuse_stuart": _fuse(_stuart()),
-    "fuse_owa": _fuse(_OWA),
+    "fuse_mean": _fuse(_mean(4)),
+    "fuse_rra": _fuse(_rra(4)),
+    "fuse_stuart": _fuse(_stuart(4)),
+    "fuse_owa": _fuse(_owa(4, OWA_RISK)),
+    "fusion_sweep": _sweep(),
+    "ensemble_relieff_min": ENSEMBLE_RELIEFF,
+    "scaled_nan_kept": f"WITH {E}, h AS (SELECT id, f, v, (id + f) % 11 = 0 AS n FROM e), b AS (SELECT f, min(v) AS mn, max(v) AS mx FROM h WHERE NOT n GROUP BY f) SELECT id, h.f, n AS is_nan, CASE WHEN n THEN NULL ELSE round((v - mn) / (mx - mn), 6) END AS v FROM h JOIN b ON h.f = b.f",
+    "strict_bins": f"WITH {E}, {MM} SELECT e.f, {_bin('v', 'mn', 'mx', 7)} AS bin, count(*) AS n FROM e JOIN mm ON e.f = mm.f GROUP BY ALL",
+    "prepared": "WITH i AS (SELECT p_brand AS b, (row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1)::DOUBLE AS label FROM part GROUP BY p_brand), m AS (SELECT min(p_size)::DOUBLE AS a, max(p_size)::DOUBLE AS b, min(p_retailprice)::DOUBLE AS c, max(p_retailprice)::DOUBLE AS d FROM part) SELECT p_partkey, label, f::INT AS f, round(-1 + 2 * (CASE WHEN f = 0 THEN (p_size - a) / (m.b - a) ELSE (p_retailprice - c) / (d - c) END), 6) AS v FROM part JOIN i ON p_brand = i.b, m, (SELECT unnest([0, 1]) AS f)",
+    "balanced_none": f"WITH {_spread()} SELECT p, bag, label, count(*) AS n, sum(id)::BIGINT AS ids FROM sp, (SELECT unnest([0, 1])::INT AS bag) GROUP BY p, bag, label",
     "two_level_fusion_min": TWO_LEVEL,
     "csv_roundtrip": "SELECT " + ", ".join(f"{c}::DOUBLE AS col{i}" for i, c in enumerate(NUMERIC)) + ", CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM lineitem",
     "binary_records": "SELECT " + ", ".join(f"{_byte(c)} AS {n}" for c, n in (("l_orderkey", "col0"), ("l_partkey", "col1"), ("l_suppkey", "col2"), ("l_linenumber", "label"))) + " FROM lineitem",

@@ -79,6 +79,25 @@ def scaled_bins(spark, sf):
     return prep.discretise(scaled(spark, sf), 10).select("id", "f", "bin")
 
 
+def scaled_nan_kept(spark, sf):
+    """Scaling of values of which some are NaN, by the bounds of the others; NaN stays."""
+    own = long(spark, sf)
+    holed = own.withColumn("v", F.when((F.col("id") + F.col("f")) % 11 == 0, F.lit(float("nan"))).otherwise(F.col("v")))
+    out = prep.scale(holed, prep.minmax(holed.filter("NOT isnan(v)")), nan_to_zero=False)
+    return out.select("id", "f", F.isnan("v").alias("is_nan"), F.round(F.when(~F.isnan("v"), F.col("v")), 6).alias("v"))
+
+
+def strict_bins(spark, sf):
+    own = long(spark, sf)
+    return prep.discretise(own, 7, prep.minmax(own), strict=True).groupBy("f", "bin").agg(F.count("*").alias("n"))
+
+
+def prepared(spark, sf):
+    """Assembly, scaling and label index of a table in one plan."""
+    own = prep.prepare(table(spark, sf, "part"), ["p_size", "p_retailprice"], "p_brand", ("p_partkey",), -1.0, 1.0)
+    return _r(own.select("p_partkey", "label", F.posexplode("features").alias("f", "v")), "v")
+
+
 def quantile_bins_exact(spark, sf):
     return prep.quantile_bins(long(spark, sf), "id", 4).select("id", "f", "bin")
 
@@ -104,6 +123,10 @@ def bagging_undersample(spark, sf):
     return balance.bagging(spread(spark, sf), 3, "id")
 
 
+def balanced_none(spark, sf):
+    return ensemble.balanced(spread(spark, sf), "none", 2, 5, 5341).groupBy("p", "bag", "label").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 def nearmiss1(spark, sf):
     return balance.near_miss(spread(spark, sf), 5, "id")
 
@@ -196,17 +219,24 @@ def lists(spark, sf):
 OWA_RISK = 0.75
 
 
-def _fuse(method: str, score: bool = True):
+def _fuse(method: str):
     def query(spark, sf):
-        own = fusion.fuse(lists(spark, sf), method, risk=OWA_RISK).withColumn("pos", F.col("pos").cast("int"))
-        return _r(own, "score", digits=8) if score else own.drop("score")
+        return _r(fusion.fuse(lists(spark, sf), method, risk=OWA_RISK).withColumn("pos", F.col("pos").cast("int")), "score", digits=8)
 
     return query
 
 
+def _bag_weights(spark, sf):
+    return long(spark, sf).groupBy(F.pmod("id", F.lit(4)).alias("p"), F.pmod(F.floor(F.col("id") / 4), F.lit(3)).alias("bag"), "f").agg(F.round(F.avg("v"), 9).alias("w"))
+
+
 def two_level_fusion_min(spark, sf):
-    w = long(spark, sf).groupBy(F.pmod("id", F.lit(4)).alias("p"), F.pmod(F.floor(F.col("id") / 4), F.lit(3)).alias("bag"), "f").agg(F.round(F.avg("v"), 9).alias("w"))
-    return fusion.two_level(w).select("item", F.round("score", 9).alias("score"), F.col("pos").cast("int").alias("pos"))
+    return fusion.two_level(_bag_weights(spark, sf)).select("item", F.round("score", 9).alias("score"), F.col("pos").cast("int").alias("pos"))
+
+
+def fusion_sweep(spark, sf):
+    """All 31 settings on one table of weights."""
+    return fusion.sweep(_bag_weights(spark, sf)).select("setting", "item", F.round("score", 8).alias("score"), F.col("pos").cast("int").alias("pos"))
 
 
 def _ensemble(method: str, balancing: str = "baggingundersampling", fused: str = "owa", bags: int = 3):
@@ -243,9 +273,9 @@ def binary_records(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (feature_minmax, minmax_scaled, equal_width_bins, scaled_bins, quantile_bins_exact, nominal_features, label_index, class_spread_counts, minority_split, bagging_undersample, nearmiss1, nearmiss2, smote_synthetic, pair_euclidean, pair_manhattan, entropy, contingency, mi_matrix, su_matrix, cmi_matrix, su_label_rank, relieff_weights, two_level_fusion_min, owa_weights, csv_roundtrip, binary_records)}
+    found = {f.__name__: f for f in (feature_minmax, minmax_scaled, equal_width_bins, scaled_bins, scaled_nan_kept, strict_bins, prepared, balanced_none, quantile_bins_exact, nominal_features, label_index, class_spread_counts, minority_split, bagging_undersample, nearmiss1, nearmiss2, smote_synthetic, pair_euclidean, pair_manhattan, entropy, contingency, mi_matrix, su_matrix, cmi_matrix, su_label_rank, relieff_weights, two_level_fusion_min, fusion_sweep, owa_weights, csv_roundtrip, binary_records)}
     found |= {"knn": _knn("any"), "knn_hit": _knn("hit"), "knn_miss": _knn("miss"), "knn_by_class": _knn("each"), "k_furthest": _knn("any", True)}
     found |= {f"{m.lower()}_weights": _dense(m) for m in ("QPFS", "SRFS", "TPFS")}
-    found |= {f"fuse_{m.lower().replace('.', '_')}": _fuse(m, m != "mean") for m in fusion.METHODS}
+    found |= {f"fuse_{m.lower().replace('.', '_')}": _fuse(m) for m in fusion.METHODS}
     found |= {"ensemble_qpfs_owa": _ensemble("QPFS"), "ensemble_srfs_rra": _ensemble("SRFS", fused="RRA"), "ensemble_tpfs_nearmiss2": _ensemble("TPFS", "nearmiss2", "median"), "ensemble_relieff_min": _ensemble("ReliefF", fused="min"), "ensemble_relieff_smote": _ensemble("ReliefF", "smote", "stuart"), "ensemble_qpfs_none": _ensemble("QPFS", "none", "geom.mean", 1)}
     return found
