@@ -1,7 +1,10 @@
 """The training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-Every stage but the last keeps the columns of documents. A stage's result is to be written before the next stage is
-called: that call removes the tables that the one before kept aside. Part of subpackage ``llm``.
+Every stage but the last keeps the columns of documents, whatever their names. A stage returns rows that it has written to
+the shared folder; the tables it kept aside on the way are gone by then, and nothing of it is held anywhere else, so
+stages can be called in any order and again. Part of subpackage ``llm``.
+
+Cases, for all stages: null in any column, empty texts, repeated rows and ids, and empty tables (which give empty ones).
 """
 
 from __future__ import annotations
@@ -14,17 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from rankforge.llm import bpe, exact_dedup, jaccard_join, mixing, quality_rules
 from rankforge.llm.common import documents, drop_kept_aside, kept_aside, materialize
 
-_before: list[str] = []
-
 
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_kept_aside(spark, _before)
-        _before.clear()
         had = set(kept_aside())
-        out = f(spark, docs, sf_dir)
-        _before.extend(p for p in kept_aside() if p not in had)
+        own = f(spark, docs, sf_dir)
+        aside = [p for p in kept_aside() if p not in had]
+        out = materialize(own)
+        drop_kept_aside(spark, aside)
         return out
 
     return run_stage
@@ -32,26 +33,30 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[S
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and whose posterior probability of good is 0.5 or more. Null and empty texts go, having fewer than 50 words; rows alike share a fate."""
     return quality_rules.filter_docs(docs)
 
 
 @stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of texts that are equal but for white space: most code points, then smallest id, null last. Null counts as empty; all empty texts are one class."""
     return exact_dedup.one_of_each(docs)
 
 
 @stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of sets of five-word shingles that are 80 % alike: smallest id, null last. Texts without words link with nothing and stay; rows alike in id and text are one."""
     return jaccard_join.one_of_each(docs, n=5, percent=80)
 
 
 @stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document 0 to 2 times, as its source's target asks for; a null source is a source. Texts without words go; rows alike share what they get."""
     return mixing.mixed(docs)
 
 
-@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of each row; a null text has no ids."""
     return bpe.encode_decode(docs).drop("decoded")
 
 
@@ -62,8 +67,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for k, (_, f) in enumerate(STAGES):
+    for _, f in STAGES:
         docs = f(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs)
     return docs
