@@ -1,16 +1,19 @@
 """Language identification (op 1): sparse multinomial logistic regression on TF-IDF of character n-grams.
 
 Texts are lower-cased; n-grams of 1 to 3 code points are hashed to ``DIMS`` features, whose value is the n-gram's
-share of the text times its inverse document frequency. The regression is trained by follow-the-regularised-leader
-with elastic-net penalties, which leaves unused weights at exactly zero, on a sample of at most ``TRAIN_ROWS``
-labelled documents (in the order of a hash of their ids); a fifth of it calibrates the softmax temperature.
+share of the text times its inverse document frequency. Document frequencies are counted over all documents that may be
+learned from. The regression is trained by follow-the-regularised-leader with elastic-net penalties, which leaves unused
+weights at exactly zero, on a sample of labelled documents: of each language as many as its share of ``TRAIN_ROWS``
+allows, but ``LEAST_ROWS`` at least (in the order of a hash of id and text), so that a rare language is learned however
+large the others are. A fifth of the sample calibrates the softmax temperature.
 
 Prediction reads whole texts and nothing else: the score of a language is linear in the n-grams, so a text's
-scores are sums of a small table (``DIMS`` x languages, at most ``MAX_LANGUAGES``) over its n-grams.
+scores are sums of a small table (``DIMS`` x languages, 256 KB for each language, a broadcast variable) over its
+n-grams. All languages are learned; training takes about 1 MB of the driver for each.
 
 Cases. ``und`` with score 0.0 for null texts and texts without a letter, and if nothing could be learned; a
-language is any non-null label, rare ones beyond ``MAX_LANGUAGES`` (by count, then name) aren't learned. Rows of
-equal id are predicted apart; an empty table gives an empty result; other columns are not read.
+language is any non-null label. Rows of equal id are predicted apart; of rows alike any may be in the sample. An empty
+table gives an empty result; other columns are not read. Very long texts are worked on in parts of ``STEP`` characters.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, small_workers
 
-DIMS, TRAIN_ROWS, MAX_LANGUAGES = 1 << 16, 4000, 256
+DIMS, TRAIN_ROWS, LEAST_ROWS = 1 << 16, 4000, 20
 ORDERS = (1, 2, 3)
 #: Characters of text worked on at once.
 STEP = 1 << 18
@@ -87,6 +90,21 @@ def _add(had: tuple[np.ndarray, np.ndarray], more: np.ndarray) -> np.ndarray:
     return full
 
 
+def frequencies(texts: list[str]) -> np.ndarray:
+    """Of each feature, how many of the texts hold it."""
+    out, own, at = np.zeros(DIMS, np.int64), np.zeros(DIMS, bool), -1
+    for a, b, code, start, stop in _pieces(texts):
+        found = list(_features(code))
+        for i, x, y in zip(range(a, b), start, stop, strict=True):
+            if i != at:  # a long text comes in parts
+                out += own
+                own[:] = False
+                at = i
+            for f in found:
+                own[f[x:y]] = True
+    return out + own
+
+
 class Model:
     """Table of weight times inverse document frequency, intercepts, temperature."""
 
@@ -137,13 +155,14 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, k: int, d
     return weights(z, n)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], scale: float = 40.0) -> Model:
-    """rows: (features, counts) of each text. A fifth of the texts calibrates the temperature."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], df: np.ndarray | None = None, documents: int = 0, scale: float = 40.0) -> Model:
+    """rows: (features, counts) of each text. df: how many of so many documents hold each feature; None: of the rows. A fifth of the texts calibrates the temperature."""
     if not labels:
         return Model([], np.zeros((DIMS, 1), np.float32), np.zeros(1), 1.0)
     names, label = np.unique(np.array(labels, dtype=object), return_inverse=True)
-    df = np.bincount(np.concatenate([i for i, _ in rows]), minlength=DIMS)
-    idf = np.log((1 + len(rows)) / (1 + df)) + 0.1
+    if df is None:
+        df, documents = np.bincount(np.concatenate([i for i, _ in rows]), minlength=DIMS), len(rows)
+    idf = np.log((1 + documents) / (1 + df)) + 0.1
     values = [(np.append(i, DIMS), np.append(c / max(1, c.sum()) * idf[i] * scale, 1.0)) for i, c in rows]
     test = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
     fit = np.flatnonzero(~test)
@@ -159,35 +178,55 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], scale: f
     return Model([str(x) for x in names], table, w[DIMS], max(temperature, 0.2))
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learned, limit: int = TRAIN_ROWS) -> Model:
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learned, limit: int = TRAIN_ROWS, least: int = LEAST_ROWS) -> Model:
     """learned: condition on the rows that may be learned from."""
     spark = docs.sparkSession
-    own = docs.filter(learned & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
-    common = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    chosen = own.filter(F.col("lang").isin(common)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    ids = [r["doc_id"] for r in chosen.collect()]  # at most limit
-    if not ids:
+    small_workers(spark)
+    own = docs.filter(learned & F.col(lang_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    sizes = own.groupBy("lang").count().collect()  # a row for each language
+    if not sizes:
         return train([], [])
-    few = F.broadcast(spark.createDataFrame([(i,) for i in ids if i is not None], "doc_id long"))
-    sample = docs.filter(learned & F.col(lang_col).isin(common)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).join(few, "doc_id")
+    quota = max(least, limit // len(sizes))
+    # some four times the quota by a hash, exactly the quota by a window over those few
+    share = spark.createDataFrame([(r["lang"], min(1.0, (4 * quota + 50) / r["count"])) for r in sizes], "lang string, share double")
+    near = own.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * float(1 << 30))
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    sample = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= quota)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = counts([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], names=["doc_id", "lang", "i", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], names=["h", "lang", "i", "c"])
+
+    rows = sorted((r["h"], r["lang"], bytes(r["i"]), bytes(r["c"])) for r in sample.select("h", "lang", "text").mapInArrow(f, "h long, lang string, i binary, c binary").collect())  # quota rows of each language
+    rows = [r for r in rows if len(r[2])]
 
-    rows = sorted(((r["doc_id"], r["lang"], bytes(r["i"]), bytes(r["c"])) for r in sample.mapInArrow(f, "doc_id long, lang string, i binary, c binary").collect()))
-    rows = [r for r in rows if len(r[2])][: 2 * limit]
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(DIMS, np.int64), 0
+        for batch in batches:
+            total += frequencies([t or "" for t in batch.column("text").to_pylist()])
+            n += batch.num_rows
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1), pa.int64()), pa.array(np.append(total[own], n), pa.int64())], names=["f", "n"])
+
+    found = own.select("text").mapInArrow(held, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()  # at most DIMS + 1
+    df = np.zeros(DIMS, np.int64)
+    for r in found:
+        if r["f"] >= 0:
+            df[r["f"]] = r["n"]
+    documents_ = sum(r["n"] for r in found if r["f"] < 0)
     order = np.random.default_rng(3).permutation(len(rows))
-    return train([(np.frombuffer(rows[k][2], np.int32), np.frombuffer(rows[k][3], np.int32)) for k in order], [rows[k][1] for k in order])
+    return train([(np.frombuffer(rows[k][2], np.int32), np.frombuffer(rows[k][3], np.int32)) for k in order], [rows[k][1] for k in order], df, documents_)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     small_workers(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
         for batch in batches:
             lang, score = model.predict([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

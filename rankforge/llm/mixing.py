@@ -2,14 +2,14 @@
 
 Sizes are words. Each source's documents, in the order of a hash of their ids, form a stream of tokens that is cut
 into equal blocks and passes at most ``CAP`` times. A source's blocks are as long as ``SLOTS`` of them for all targets
-together, but no longer than a part in ``FINE`` of its own target, so small sources have finer blocks; the last block ends
-where the target does. A schedule gives each slot to a source: slot n has the point ``frac(n * golden ratio)``, mapped
+together, but no longer than a part in ``FINE`` of its own target, so small sources have finer blocks, and than ``LONGEST``
+words, from where on their number grows with the corpus; the last block ends where the target does. A schedule gives each slot to a source: slot n has the point ``frac(n * golden ratio)``, mapped
 through the cumulative numbers of blocks, so that every stretch of slots holds each source in its share. A source's
 slots are ranked, and slot rank r takes block r of its stream; points go on until every source has its number of blocks,
 so each is taken up to its target, rounded to words (one at least).
 
-The place of each document in its stream is a running sum in two steps, within hash ranges and over the ranges, so that
-a source with a third of all rows is no task of its own; ties in hash and id go by size.
+The place of each document in its stream is a running sum in two steps, within ranges of hashes, of some ``ROWS`` rows, and
+over the ranges, so that a source with a third of all rows is no task of its own; ties in hash and id go by size.
 
 Cases. A null text has size 0; a null source is a source of its own, last in order. Documents of size 0 take nothing.
 Rows of equal id are documents of their own. With no words at all, targets and taken are 0. An empty table gives an
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, materialize
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2
-SLOTS, FINE, CELLS = 1 << 18, 64, 4096
+SLOTS, FINE, LONGEST, CELLS, ROWS = 1 << 18, 64, 1 << 20, 4096, 1 << 16
 GOLDEN = 0.6180339887498949
 
 
@@ -55,7 +55,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def blocks(goal: DataFrame, slots: int = SLOTS) -> DataFrame:
     """goal with words, the target in whole words; tokens, the block length of the source; n, its number of blocks."""
     total = goal.agg(F.sum("target")).first()[0] or 0.0
-    tokens = max(1, int(total // slots) + (total % slots > 0))
+    tokens = min(LONGEST, max(1, int(total // slots) + (total % slots > 0)))
     words = F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round("target"))).otherwise(0).cast("long")
     own = goal.withColumn("words", words).withColumn("tokens", F.greatest(F.lit(1), F.least(F.lit(tokens), F.expr(f"words div {FINE}"))).cast("long"))
     return own.withColumn("n", F.expr("(words + tokens - 1) div tokens"))
@@ -92,9 +92,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     def same(a: str, b: str):
         return F.col(a).eqNullSafe(F.col(b))
 
-    ranged = sized.withColumn("r", F.shiftrightunsigned("h", 56))
+    # ranges of hashes, as many as the rows ask for
+    bits = min(24, max(8, (sized.count() // ROWS).bit_length()))
+    ranged = sized.withColumn("r", F.shiftrightunsigned("h", 64 - bits))
     sums = ranged.groupBy("source", "r").agg(F.sum("size").alias("n"))
-    start = sums.select(F.col("source").alias("s_source"), F.col("r").alias("s_r"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(F.col("r") >= 128, "r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    start = sums.select(F.col("source").alias("s_source"), F.col("r").alias("s_r"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(F.col("r") >= (1 << (bits - 1)), "r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "r").orderBy("h", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(start, same("source", "s_source") & same("r", "s_r")).withColumn("at", F.col("base") + F.col("in_range"))
     placed = placed.join(cut.select(F.col("source").alias("g_source"), "source_size", "target", "words", "tokens"), same("source", "g_source"))
@@ -114,13 +116,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows of docs, each as often as the mix takes its words (rounded to whole documents): 0 to ``CAP`` times."""
-    key = F.xxhash64(F.col(text_col).cast("string"), F.col(source_col).cast("string"))
-    plan = mix(docs.withColumn("_key", key), id_col, text_col, source_col, carry=("_key",))
-    # rows alike in id, text and source share what they get
+    """Rows of docs, each as often as the mix takes its words (rounded to whole documents): 0 to ``CAP`` times.
+
+    Columns of docs may have any names. Rows without words are not taken; rows alike in id, text and source share what they get.
+    """
+    columns, names = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]  # free of clashes
+    own = docs.toDF(*names)
+    id_, text, source = (names[columns.index(c)] for c in (id_col, text_col, source_col))
+    own = own.withColumn("_key", F.xxhash64(F.col(text).cast("string"), F.col(source).cast("string")))
+    plan = mix(own, id_, text, source, carry=("_key",))
     plan = plan.filter("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.floor(F.avg("taken") / F.max("size") + 0.5).cast("int").alias("_copies")).filter("_copies > 0")
-    own = docs.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_k")))
-    return own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    taken = own.join(plan, F.col(id_).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names).toDF(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ so the first digit is chosen by content, such that few suffixes get beyond it:
 * Further digits: spans whose anchor also has other spans (edges of passages, edits) are sent with their bytes to the
   anchor's bucket, where their suffixes are sorted: by distance from the anchor, then eight bytes at a time through
   the threshold (``radix_groups``). Bytes decide, not hashes.
-* An anchor with more than ``SPLIT`` different spans is no bucket's work: its windows are sent one by one, dealt by a
-  hash of all their bytes, and sorted there in the same way.
+* An anchor with more than ``SPLIT`` different spans is no bucket's work: its windows are sent one by one (of equal ones
+  of a page, one), dealt by a hash of all their bytes, and sorted there in the same way.
 
 Equal spans are found by 64-bit hashes, compared within an anchor only.
 
@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import pages as P
 from .common import _BYTE, covered, documents, prefix_hash, span_hash, strings
 
-THRESHOLD, ANCHOR, SPLIT = 200, 64, 1024
+THRESHOLD, ANCHOR, SPLIT = 200, 64, 32
 #: Bytes of a text worked on at once; suffixes sorted at once.
-PIECE, SUFFIXES = 1 << 19, 1 << 20
+PIECE, SUFFIXES = 1 << 19, 1 << 19
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _LOW = np.uint64((1 << 22) - 1)
 #: Answers on a span, as bits: all its windows repeat; its windows are to be told apart; one by one.
@@ -108,22 +108,29 @@ def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int
     Most-significant-digit passes of up to eight bytes: each orders what is left by group and digit, and drops the suffixes
     that stand alone. at: where in data each suffix begins.
     """
-    number, d = np.arange(len(at)), 0
-    while len(number):
+    number = np.argsort(group, kind="stable")
+    group, d = group[number], 0
+    while True:
+        head = np.concatenate([np.ones(min(1, len(group)), bool), group[1:] != group[:-1]])
+        own = np.cumsum(head) - 1
+        size = np.bincount(own)
+        many = size[own] > 1
+        number, group, size = number[many], own[many], size[size > 1]
+        if d >= depth or not len(number):
+            return np.split(number, np.cumsum(size)[:-1]) if len(number) else []
         step = min(8, depth - d)
-        digit = np.zeros(len(number), np.uint64)
-        if d < depth:
-            for k in range(step):
-                digit = (digit << np.uint64(8)) | data[at[number] + (d + k)]
-        order = np.lexsort((digit, group))
-        number, group, digit = number[order], group[order], digit[order]
+        digit, place = np.zeros(len(number), np.uint64), at[number] + d
+        for k in range(step):
+            digit = (digit << np.uint64(8)) | data[place + k]
+        # groups that agree in the digit stay as they are; the others are ordered by it
+        group = np.repeat(np.arange(len(size)), size)
+        first = np.cumsum(size) - size
+        differs = np.bincount(group, weights=digit != digit[first][group]) > 0
+        sort = np.flatnonzero(differs[group])
+        by = sort[np.lexsort((digit[sort], group[sort]))]
+        number[sort], digit[sort] = number[by], digit[by]
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])])
-        own = np.cumsum(new) - 1
-        many = np.bincount(own)[own] > 1
-        number, group, d = number[many], own[many], d + step
-        if d >= depth:
-            break
-    return np.split(number, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(number) else []
+        group, d = np.cumsum(new), d + step
 
 
 def _span_keys(s: Spans):
@@ -173,21 +180,53 @@ def _answer_spans(split: int):
     return f
 
 
-def _told(s: Spans, replies: pa.Table, buckets: int):
-    """Code of each span; what is told apart, in the order of keys: key, first window, number of windows, distance of the anchor, whether it is WHOLE."""
-    at, _, which = _span_keys(s)
-    code = P.in_order(P.bucket_of(s.anchor[at], buckets), replies, np.uint8)
-    own, single = at[(code & TELL > 0) & (code & APART == 0)], at[(code & TELL > 0) & (code & APART > 0)]
-    whole = np.zeros(len(s.first), bool)
-    whole[at] = code & WHOLE > 0
-    n = s.last[single] - s.first[single] + 1
-    first = np.repeat(s.first[single], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    by = [span_hash(prefix_hash(_BYTE[s.buf[a : b + s.threshold]]), np.arange(b - a + 1), np.arange(b - a + 1) + s.threshold) for a, b in zip(s.first[single], s.last[single], strict=True)]
-    key = np.concatenate([s.anchor[own], *by])
-    firsts, counts = np.concatenate([s.first[own], first]), np.concatenate([s.last[own] - s.first[own] + 1, np.ones(len(first), np.int64)])
-    far, is_whole = np.concatenate([s.place[own], np.repeat(s.place[single], n)]) - firsts, np.concatenate([whole[own], np.repeat(whole[single], n)])
+def _alike(buf: np.ndarray, at: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal strings, and the number in it of every string. Strings of one key are compared byte by byte."""
     order = np.argsort(key, kind="stable")
-    return code[which] if len(code) else np.empty(0, np.uint8), key[order], firsts[order], counts[order], far[order], is_whole[order]
+    same = key[order[1:]] == key[order[:-1]]
+    for x in range(0, len(same), 1 << 16):
+        part = np.flatnonzero(same[x : x + (1 << 16)]) + x
+        a, b = at[order[part + 1]], at[order[part]]
+        equal = np.ones(len(part), bool)
+        for k in range(length):
+            equal &= buf[a + k] == buf[b + k]
+        same[part] = equal
+    head = np.concatenate([np.ones(min(1, len(at)), bool), ~same])
+    which = np.empty(len(at), np.int64)
+    which[order] = np.cumsum(head) - 1
+    return order[head], which
+
+
+class Told:
+    """What a page has told apart, in the order of keys: key, first window, number of windows, distance of the anchor, whether its windows are known to repeat.
+
+    place, flat: each window that is asked about, and its number among the windows of what is sent. code: of each span.
+    """
+
+    def __init__(self, s: Spans, replies: pa.Table, buckets: int):
+        at, _, which = _span_keys(s)
+        code = P.in_order(P.bucket_of(s.anchor[at], buckets), replies, np.uint8)
+        self.code = code[which] if len(code) else np.empty(0, np.uint8)
+        whole = np.zeros(len(s.first), bool)
+        whole[at] = code & WHOLE > 0
+        own, single = at[(code & TELL > 0) & (code & APART == 0)], at[(code & TELL > 0) & (code & APART > 0)]
+        n = s.last[single] - s.first[single] + 1
+        place = np.repeat(s.first[single], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        by = [span_hash(prefix_hash(_BYTE[s.buf[a : b + s.threshold]]), np.arange(b - a + 1), np.arange(b - a + 1) + s.threshold) for a, b in zip(s.first[single], s.last[single], strict=True)]
+        window = np.concatenate([*by, np.empty(0, np.uint64)])
+        first, number = _alike(s.buf, place, window, s.threshold)
+        known = np.repeat(whole[single], n)
+        repeats = (np.bincount(number, minlength=len(first)) > 1) | (np.bincount(number, weights=known, minlength=len(first)) > 0)
+        key, start = np.concatenate([s.anchor[own], window[first]]), np.concatenate([s.first[own], place[first]])
+        count = np.concatenate([s.last[own] - s.first[own] + 1, np.ones(len(first), np.int64)])
+        far = np.concatenate([s.place[own] - s.first[own], np.repeat(s.place[single], n)[first] - place[first]])
+        order = np.argsort(key, kind="stable")
+        begin = np.empty(len(order), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        self.key, self.first, self.count, self.far, self.whole = key[order], start[order], count[order], far[order], np.concatenate([whole[own], repeats])[order]
+        inside = np.arange(int(count[: len(own)].sum())) - np.repeat(np.cumsum(count[: len(own)]) - count[: len(own)], count[: len(own)])
+        self.place = np.concatenate([np.repeat(s.first[own], count[: len(own)]) + inside, place])
+        self.flat = np.concatenate([np.repeat(begin[: len(own)], count[: len(own)]) + inside, begin[len(own) :][number]])
 
 
 def _ask_windows(threshold: int, anchor: int, buckets: int):
@@ -195,7 +234,8 @@ def _ask_windows(threshold: int, anchor: int, buckets: int):
         if not table.num_rows:
             return P.nothing()
         s = Spans(P.load(table)[1], threshold, anchor)
-        _, key, first, count, far, whole = _told(s, replies, buckets)
+        t = Told(s, replies, buckets)
+        key, first, count, far, whole = t.key, t.first, t.count, t.far, t.whole
         page, rows = table.column("page")[0].as_py(), []
         for b, x, y in P.slices(P.bucket_of(key, buckets)):
             bytes_ = b"".join(s.buf[i : i + n + threshold - 1].tobytes() for i, n in zip(first[x:y].tolist(), count[x:y].tolist(), strict=True))
@@ -250,12 +290,10 @@ def _finish(threshold: int, anchor: int, buckets: int, with_bytes: bool):
         bucket = replies.column("bucket").to_numpy()
         one, two = replies.filter(pa.array(bucket >= 0)), replies.filter(pa.array(bucket < 0))
         two = two.set_column(1, "bucket", pc.subtract(pa.scalar(-1, pa.int32()), two.column("bucket")))
-        code, key, first, count, _, _ = _told(s, one, buckets)
-        n = len(s.buf)
-        window = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        flag = P.in_order(np.repeat(P.bucket_of(key, buckets), count), two, bool, bits=True)
-        gone = covered(window[flag], threshold, n)
-        for a, b in zip(s.first[code & WHOLE > 0], s.last[code & WHOLE > 0], strict=True):
+        t, n = Told(s, one, buckets), len(s.buf)
+        flag = P.in_order(np.repeat(P.bucket_of(t.key, buckets), t.count), two, bool, bits=True)
+        gone = covered(t.place[flag[t.flat]], threshold, n)
+        for a, b in zip(s.first[t.code & WHOLE > 0], s.last[t.code & WHOLE > 0], strict=True):
             gone[a : b + threshold] = True
         rows = []
         for a, b in zip(s.off[:-1], s.off[1:], strict=True):
