@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rankforge.operators import balance, fusion, information, neighbours, prep, rankers
+from rankforge.functions import fusing
+from rankforge.plans import ensemble
 from rankforge.plans.ensemble import EnsembleRanker
 from rankforge.sources import io
 from rankforge.sources.schema import DATASETS, Dataset, by_file_name
@@ -101,6 +103,128 @@ def test_scaling(spark):
         prep.discretise(df.filter("NOT isnan(v)"), 10, low=2.0, high=6.0, strict=True).collect()
 
 
+def test_constant_features(spark):
+    """A constant label and constant features: NaN where both are, in relations and matrices alike; QPFS leaves such features out."""
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 4, (80, 5))
+    bins[:, 3] = bins[:, 4] = 2
+    z = (bins[:, 0] > 1).astype(int)
+    su = information.similarity_matrix(np.column_stack([bins, z]))
+    assert np.isnan(su[3, 4]) and not np.isnan(su[3, 0]) and not np.isnan(su[5]).any()
+    w = rankers.qpfs(su)
+    alone = rankers.qpfs(np.delete(np.delete(su, [3, 4], 0), [3, 4], 1))
+    assert np.allclose(w[:3], alone) and w[3] == w[4] == alone.min() and w[:3].sum() == pytest.approx(1.0)
+    one = rankers.qpfs(np.delete(np.delete(su, 4, 0), 4, 1))  # a single constant is defined, and stays
+    assert one.sum() == pytest.approx(1.0)
+    same = np.column_stack([bins, np.ones(80, int)])
+    assert rankers.qpfs(information.similarity_matrix(same)).shape == (5,)  # the label is never dropped
+    df = spark.createDataFrame([(i, 1, f, int(bins[i, f])) for i in range(80) for f in (0, 3)], "id int, label int, f int, bin int")
+    v = {r.f: r.v for r in information.relevance(df).collect()}
+    assert np.isnan(v[3]) and v[0] == 0.0
+
+
+def test_counts_in_chunks(monkeypatch):
+    bins = np.random.default_rng(5).integers(0, 3, (50, 4))
+    whole = information.joint_counts(bins, 3)
+    monkeypatch.setattr(information, "CHUNK", 7)
+    assert (information.joint_counts(bins, 3) == whole).all() and whole[1, 2].sum() == 50
+
+
+def test_nominal_flags_by_group(spark):
+    rows = [(p, i, [float(i % 2) if p == 0 else float(i), float(i) * 1.5, float(i % 3)]) for p in (0, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "p int, id int, features array<double>")
+    assert {r.p: list(r.nominal) for r in prep.nominal_flags(df, 5, ("p",)).collect()} == {0: [True, False, True], 1: [False, False, True]}
+    assert list(prep.nominal_flags(df, 5).first().nominal) == [False, False, True]
+
+
+@pytest.mark.parametrize("method", ["smote", "nearmiss1", "nearmiss2"])
+def test_nominal_features_in_the_ensemble(spark, method):
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, float(i % 5 == 0), [float(rng.integers(0, 3)) / 2, float(rng.random()), float(rng.random())]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, p int, label double, features array<double>")
+    made = ensemble.balanced(df, method, 1, 5, 5341, 5).collect()
+    assert len(made) == (144 if method == "smote" else 48)
+    assert {r.features[0] for r in made} <= {0.0, 0.5, 1.0}  # no value between two
+    if method == "smote":
+        assert any(r.features[0] not in (0.0, 0.5, 1.0) for r in ensemble.balanced(df, method, 1, 5, 5341).collect())
+
+
+def test_gap_of_each_row(rows):
+    made = balance.smote(rows, 2, "id", percentage=200, gap_per_row=True).collect()
+    by_id = {r.id: r.features for r in rows.collect()}
+    gaps = {round((f - a) / (b - a), 6) for r in made for f, a, b in zip(r.features, by_id[r.id], by_id[r.n_id]) if a != b}
+    assert len(made) == 10 and len(gaps) > 5
+
+
+def test_relieff_tells_nominal_by_group(spark):
+    rng = np.random.default_rng(7)
+    rows = [(p, i, str(i), float(i % 2), [float(i % 2) * (1 if p == 0 else 0.1) + (0 if p == 0 else float(rng.random()) / 100), float(rng.random())]) for p in (0, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "p int, id int, draw string, label double, features array<double>")
+    w = {(r.p, r.f): r.w for r in rankers.relieff(df, 0, 3, keys=("p",), threshold=5).collect()}
+    # nominal in group 0 only: differences of 1 there, of 0.1 elsewhere
+    assert w[0, 0] == pytest.approx(40 * 3) and 8 < w[1, 0] < 14
+    assert {(r.p, r.f): r.w for r in rankers.relieff(df, 0, 3, keys=("p",), threshold=5, blocks=3).collect()} == pytest.approx(w)
+
+
+def test_quantile_bins_as_ntile(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f, float(rng.integers(0, 9)) if f else float(rng.random())) for f in (0, 1) for i in range(103)]
+    df = spark.createDataFrame(rows, "id int, f int, v double")
+    want = df.withColumn("bin", F.expr("cast(ntile(7) over (partition by f order by v, id) - 1 as int)"))
+    assert sorted(map(tuple, prep.quantile_bins(df, "id", 7, ranges=5).collect())) == sorted(map(tuple, want.collect()))
+    few = spark.createDataFrame(rows[:3], "id int, f int, v double")
+    assert sorted(r.bin for r in prep.quantile_bins(few, "id", 5).collect()) == [0, 1, 2]
+
+
+def test_prepare(spark):
+    df = spark.createDataFrame([(1, 2.0, 5.0, "x"), (2, 4.0, 5.0, "y"), (3, 3.0, 5.0, "x")], "k int, a double, b double, c string")
+    got = {r.k: (list(r.features), r.label) for r in prep.prepare(df, ["a", "b"], "c", ("k",)).collect()}
+    assert got == {1: ([0.0, 0.5], 0.0), 2: ([1.0, 0.5], 1.0), 3: ([0.5, 0.5], 0.0)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 30])
+def test_scores_in_the_jvm(spark, n):
+    """Against the same in Python, with ranks at both ends, repeated and (but for owa) missing."""
+    rng = np.random.default_rng(n)
+    data = [[float(x) for x in rng.integers(1, 21, n) / 20] for _ in range(20)] + [[1.0] * n, [0.001] * n]
+    holed = [[float("nan")] * (n - 1) + [0.3], *data]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(holed)], "i int, r array<double>")
+    want = {"mean": lambda x: fusing.normal_cdf(float(np.nanmean(x)), 0.5, (1 / 12 / np.count_nonzero(~np.isnan(x))) ** 0.5), "RRA": fusing.rra, "stuart": fusing.stuart}
+    for m, f in want.items():
+        if m == "stuart" and n > 7:
+            continue
+        got = {r.i: r.s for r in df.select("i", fusion.score(m).alias("s")).collect()}
+        assert [got[i] for i in range(len(holed))] == pytest.approx([f(np.array(x)) for x in holed], rel=1e-7, abs=1e-12), m
+    for risk in (0.0, 0.05, 0.5, 0.75, 1.0):
+        got = {r.i: r.s for r in df.filter("i > 0").select("i", fusion.score("owa", risk).alias("s")).collect()}
+        assert [got[i + 1] for i in range(len(data))] == pytest.approx([fusing.owa(np.array(x), fusing.owa_weights(n, risk)) for x in data]), risk
+
+
+def test_sweep_agrees_with_single_settings(spark):
+    rng = np.random.default_rng(9)
+    w = spark.createDataFrame([(p, b, f, float(rng.random())) for p in range(3) for b in range(2) for f in range(6)], "p int, bag int, f int, w double").persist()
+    got = {}
+    for r in fusion.sweep(w).collect():
+        got.setdefault(r.setting, {})[r.item] = r.pos
+    assert len(got) == 31
+    for name, (m, a, b) in {"RRA": ("RRA", 0.5, 0.5), "geom.mean": ("geom.mean", 0.5, 0.5), "owa 0.95 0.25": ("owa", 0.95, 0.25)}.items():
+        assert got[name] == {r.item: r.pos for r in fusion.two_level(w, m, m, a, b).collect()}
+
+
+def test_binary_files_are_split(spark, tmp_path):
+    data = np.random.default_rng(10).integers(-128, 128, (1000, 4)).astype(np.int8)
+    (tmp_path / "x.bin").write_bytes(data.tobytes())
+    got = io.read_binary(spark, str(tmp_path / "x.bin"), Dataset("x", 3, binary=True), split=800)
+    assert got.rdd.getNumPartitions() >= 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, data.tolist()))
+
+
+def test_save_output(spark, tmp_path):
+    for append, want in ((False, b"a\n"), (True, b"a\na\n"), (False, b"a\n")):
+        io.save_output(spark, str(tmp_path / "out.txt"), b"a\n", append)
+        assert (tmp_path / "out.txt").read_bytes() == want
+
+
 def test_fusion_ties_and_identity(spark):
     two = [(0, str(i), i) for i in range(12)] + [(1, str(i), 11 - i) for i in range(12)]
     got = fusion.fuse(spark.createDataFrame(two, "list_id int, item string, pos int"), "min").orderBy("pos").collect()
