@@ -103,19 +103,19 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, digest, bytes_per_batc
     state.run(f"{folder}/digests", narrow.schema, bytes_per_batch or max(LEAST_BATCH, source_bytes(own) // BATCHES))
     several = materialize(state.classes(spark).filter("group_size > 1"))
     # full bytes, on hits
-    some = several.select("digest")
+    some = several.select("digest", "group_size")
     full = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(normalised(F.col(text_col))).alias("digest"), normalised(F.col(text_col)).alias("t"))
-    hits = full.join(F.broadcast(some), "digest", "left_semi") if some.count() <= BROADCAST else salted_join(full, some, ("digest",), "doc_id")
-    mixed = materialize(hits.groupBy("digest", "t").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n_texts")).filter("n_texts > 1").select("digest"))
+    hits = full.join(F.broadcast(some), "digest", "left_semi") if some.count() <= BROADCAST else salted_join(full, some, ("digest",), "doc_id", "group_size")
+    mixed = materialize(hits.groupBy("digest", "t").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n")).filter("n_texts > 1").select("digest", "n"))
     out = ["doc_id", "keep_id", "keep_md5", "keep_locator", "group_size", "text_sha256", "md5", *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)]]
     if mixed.isEmpty():
-        found = salted_join(own, several, ("digest",), "doc_id", "left")
+        found = salted_join(own, several, ("digest",), "doc_id", "group_size", "left")
         return _or_itself(found).select(*out)
     # a digest of several texts: its documents are told apart by the texts themselves
-    odd = salted_join(digests(docs.withColumn("_t", normalised(F.col(text_col))), id_col, text_col, digest, (*carry, "_t")), mixed, ("digest",), "doc_id")
+    odd = salted_join(digests(docs.withColumn("_t", normalised(F.col(text_col))), id_col, text_col, digest, (*carry, "_t")), mixed, ("digest",), "doc_id").drop("n")
     by_text = odd.groupBy("digest", "_t").agg(*best()).select("digest", "_t", F.col("top.doc_id").alias("keep_id"), F.col("top.md5").alias("keep_md5"), F.col("top.locator").alias("keep_locator"), "group_size")
-    plain = own.join(mixed, "digest", "left_anti")
-    return _or_itself(salted_join(plain, several, ("digest",), "doc_id", "left")).select(*out).unionByName(salted_join(odd, by_text, ("digest", "_t"), "doc_id").select(*out))
+    plain = own.join(mixed.select("digest"), "digest", "left_anti")
+    return _or_itself(salted_join(plain, several, ("digest",), "doc_id", "group_size", "left")).select(*out).unionByName(salted_join(odd, by_text, ("digest", "_t"), "doc_id", "group_size").select(*out))
 
 
 def _or_itself(found: DataFrame) -> DataFrame:
