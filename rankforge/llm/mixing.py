@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize
+from .common import SPACE, WORD, documents, materialize
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2
 SLOTS, FINE, LONGEST, CELLS, ROWS = 1 << 18, 64, 1 << 20, 4096, 1 << 16
@@ -29,8 +29,8 @@ GOLDEN = 0.6180339887498949
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, and a hash that shuffles; written, as several steps read it."""
-    return materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit("mixing"), F.col(id_col)).alias("h"), *carry))
+    """doc_id, source, size, and a hash of 60 bits that shuffles, the same in any engine with md5; written, as several steps read it."""
+    return materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.conv(F.substring(F.md5(F.concat(F.lit("mixing-"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long").alias("h"), *carry))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -94,9 +94,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # ranges of hashes, as many as the rows ask for
     bits = min(24, max(8, (sized.count() // ROWS).bit_length()))
-    ranged = sized.withColumn("r", F.shiftrightunsigned("h", 64 - bits))
+    ranged = sized.withColumn("r", F.shiftright("h", 60 - bits))
     sums = ranged.groupBy("source", "r").agg(F.sum("size").alias("n"))
-    start = sums.select(F.col("source").alias("s_source"), F.col("r").alias("s_r"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(F.col("r") >= (1 << (bits - 1)), "r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    start = sums.select(F.col("source").alias("s_source"), F.col("r").alias("s_r"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "r").orderBy("h", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(start, same("source", "s_source") & same("r", "s_r")).withColumn("at", F.col("base") + F.col("in_range"))
     placed = placed.join(cut.select(F.col("source").alias("g_source"), "source_size", "target", "words", "tokens"), same("source", "g_source"))
@@ -131,4 +131,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir))
+    return mix(documents(spark, sf_dir)).withColumn("target", F.round("target", 6))
+
+
+#: The same without a schedule, which decides the order of slots and not what is taken: of each source's stream, its target in whole words.
+SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> ''))::BIGINT AS size, ('0x' || substr(md5('mixing-' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS own, {list(WEIGHTS)!r}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)})::INT + 1]::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT source, own, w, {CAP} * own AS cap, row_number() OVER o AS k, {SHARE}::DOUBLE * sum(own) OVER () - coalesce(sum({CAP} * own) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_w FROM s WINDOW o AS (ORDER BY {CAP} * own / w, source NULLS LAST)),
+f AS (SELECT rest / left_w AS level FROM c WHERE rest / left_w <= cap / w ORDER BY k LIMIT 1),
+g AS (SELECT source, own, least(cap, coalesce((SELECT level FROM f) * w, cap)) AS target FROM c),
+o AS (SELECT d.doc_id, size, own::BIGINT AS source_size, target, CASE WHEN target > 0 THEN greatest(1, round(target)) ELSE 0 END::BIGINT AS words,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, list_sum(list_transform(range({CAP}), lambda k: greatest(0, least(place + k * source_size + size, words) - place - k * source_size)))::BIGINT AS taken FROM o
+"""

@@ -178,3 +178,41 @@ def filter_docs(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+def _sql() -> str:
+    """The same in SQL: statistics of a text, votes, and expectation-maximisation as a recursion over one row."""
+
+    def about(condition: str) -> str:
+        for name, share in SHARES.items():
+            condition = condition.replace(name, f"({share})")
+        return condition
+
+    pattern = " || ".join(f"CASE WHEN {about(bad)} THEN '0' WHEN {about(good)} THEN '1' ELSE '-' END" for _, good, bad in RULES)
+    m, quote = len(RULES), lambda text: text.replace("'", "''")
+    guess = [f"{x}::DOUBLE" for side in FIRST for x in side]
+    first = "[" + ", ".join(["[" + ", ".join(f"{x} + 1e-6" for x in guess) + "]"] * m) + "]"
+    good = lambda v: f"1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, {m + 1}), lambda j: ln(rates[j][instr('10-', {v}[j])] / rates[j][instr('10-', {v}[j]) + 3]))))))"
+    cell = lambda side, k: f"(list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i][j] = '{'10-'[k]}' THEN c[i] * {'g[i]' if side == 0 else '(1 - g[i])'} ELSE 0 END)) + {WEIGHT} * {guess[3 * side + k]} + 1e-6) / ({'n_good' if side == 0 else 'n_bad'} + {WEIGHT} + 3e-6)"
+    cells = ", ".join(cell(side, k) for side in (0, 1) for k in range(3))
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) AS g FROM t WHERE len(w) > 2),
+q AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+b AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM t),
+s AS (SELECT b.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_marks,
+  length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper, len(list_distinct(w)) AS n_distinct, len(regexp_extract_all(t, '[#*$%&|<>]+')) AS n_symbol_runs,
+  length(translate(array_to_string(w, ''), '{quote(NO_LETTERS.rstrip(chr(13) + chr(12) + chr(11) + chr(10) + chr(9) + ' '))}', '')) AS n_letters FROM b LEFT JOIN q ON q.doc_id = b.doc_id),
+j AS (SELECT *, {pattern} AS votes, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s),
+p AS (SELECT list(votes ORDER BY votes) AS v, list(c ORDER BY votes) AS c FROM (SELECT votes, count(*)::DOUBLE AS c FROM j GROUP BY votes)),
+em AS (SELECT 0 AS k, {PRIOR}::DOUBLE AS prior, {first} AS rates UNION ALL
+  SELECT k + 1, (n_good + {WEIGHT} * {PRIOR}) / (n_good + n_bad + {WEIGHT}), list_transform(range({m}), lambda z: list_transform([z + 1], lambda j: [{cells}])[1]) FROM (
+    SELECT *, list_sum(list_transform(range(1, len(v) + 1), lambda i: c[i] * g[i])) AS n_good, list_sum(list_transform(range(1, len(v) + 1), lambda i: c[i] * (1 - g[i]))) AS n_bad FROM (
+      SELECT k, v, c, list_transform(v, lambda x: {good('x')}) AS g FROM em, p WHERE k < {ROUNDS}))),
+post AS (SELECT unnest(v) AS votes, unnest(list_transform(v, lambda x: {good('x')})) AS quality FROM em, p WHERE k = {ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND quality >= {KEEP} AS kept, round(quality, 6) AS quality FROM j JOIN post ON j.votes = post.votes
+"""
+
+
+SQL = _sql()

@@ -22,7 +22,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": quality_rules.SQL,
         "op5_lm_scoring": lm_scoring.SQL,
+        "op6_mixing": mixing.SQL,
+        "op7_jaccard_join": jaccard_join.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op9_substring_dedup": substring_dedup.SQL,
     }
