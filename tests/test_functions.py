@@ -4,7 +4,12 @@ import numpy as np
 import pytest
 from rankforge.functions import fusing, solvers
 
-LISTS = [list("xomw"), list("dxhirtagvk"), list("eytqmcxuzivh")]
+# Three ranked lists, and below the scores and orders that they give.
+LISTS = [
+    ["x", "o", "m", "w"],
+    ["d", "x", "h", "i", "r", "t", "a", "g", "v", "k"],
+    ["e", "y", "t", "q", "m", "c", "x", "u", "z", "i", "v", "h"],
+]
 ITEMS = sorted(set(sum(LISTS, [])))
 
 
@@ -12,6 +17,7 @@ def matrix(n):
     return {i: np.array([(r.index(i) + 1) / n if i in r else 1.0 for r in LISTS]) for i in ITEMS}
 
 
+# The five least scores.
 @pytest.mark.parametrize(
     ("score", "n", "want"),
     [
@@ -27,6 +33,7 @@ def test_scores(score, n, want):
     assert np.allclose(sorted(score(r) for r in matrix(n).values())[:5], want, atol=1e-7)
 
 
+# Orders by risk.
 @pytest.mark.parametrize(("risk", "want"), [(0.95, "xdeoy"), (0.5, "xmtihvdeoyqwrcaguzk"), (0.05, "xmtivhdeoyqwrcaguzk")])
 def test_owa_orders(risk, want):
     w = fusing.owa_weights(3, risk)
