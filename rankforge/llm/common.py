@@ -103,23 +103,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-#: Parts that the rows of a hot key are dealt to. A key is hot with more than HOT rows and a part in KEYS of all.
-SALTS, HOT, KEYS = 16, 500, 20_000
+def skew_join(rows: DataFrame, few: DataFrame, on: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """rows joined to few, at most a row for each key, where a key may hold a third of all rows.
 
-
-def salted_join(rows: DataFrame, few: DataFrame, on: tuple[str, ...], spread: str, n: str = "n", how: str = "inner") -> DataFrame:
-    """rows joined to few (at most a row for each key of ``on``, named alike in both), hot keys dealt to ``SALTS`` tasks by a hash of ``spread``.
-
-    For keys that may hold a third of all rows. few has in ``n`` how many rows there are for a key. Fewer than ``KEYS``
-    keys can be hot, whatever the size, so that these are broadcast, and only they are repeated for every task. A null
-    key matches nothing.
+    few is written first, so that it comes to the join by a shuffle (or a broadcast, if its written size is small) and not
+    out of an aggregation: adaptive execution can then split the hot keys of ``rows`` over tasks.
     """
-    bound = few.agg(F.greatest(F.lit(float(HOT)), F.sum(n) / F.lit(float(KEYS))).alias("_least"))  # one row
-    marked = few.crossJoin(F.broadcast(bound)).withColumn("_hot", F.col(n) > F.col("_least")).drop("_least")
-    hot = F.broadcast(marked.filter("_hot").select(*on, F.lit(True).alias("_hot")))
-    own = rows.join(hot, list(on), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
-    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return own.join(marked.withColumn("_salt", F.explode(parts)).drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    return rows.join(materialize(few), list(on), how)
 
 
 def text_md5(text) -> Column:
@@ -135,9 +125,9 @@ def one_row_each(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", tex
     columns, names = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]  # free of clashes
     key = lambda i, md5: F.concat(F.coalesce(i.cast("long").cast("string"), F.lit("")), F.lit(":"), md5)
     own = docs.toDF(*names)
-    own = own.withColumns({"_key": key(F.col(names[columns.index(id_col)]), text_md5(F.col(names[columns.index(text_col)]))), "_part": F.spark_partition_id()})
+    own = own.withColumns({"_key": key(F.col(names[columns.index(id_col)]), text_md5(F.col(names[columns.index(text_col)])))})
     chosen = materialize(chosen.select(key(F.col("doc_id"), F.col("md5")).alias("_key"), F.col("n").alias("_n")))
-    hit = salted_join(own, chosen, ("_key",), "_part", "_n")
+    hit = own.join(chosen, "_key")  # hot keys are split by adaptive execution
     if not chosen.filter("_n > 1").isEmpty():  # rows alike meet after a first aggregation in place
         hit = hit.filter("_n = 1").unionByName(hit.filter("_n > 1").dropDuplicates(["_key"]))
     return hit.select(*names).toDF(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, shared_dir
+from .common import drop_kept_aside, kept_aside, materialize, skew_join
 
 
 def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -13,22 +13,22 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     A large star links a node's greater neighbours to the smallest of all; a small star its smaller neighbours and
     itself. Both keep components, and when nothing changes each component is a star around its smallest node. The
-    number of rounds grows with the logarithm of a component's size; raises if ``rounds`` are not enough. Joins on a
-    star's centre are salted, as a component may hold a third of all nodes.
+    number of rounds grows with the logarithm of a component's size; raises if ``rounds`` are not enough. Every step is
+    written, so that a round does not carry the plans of those before, and joins can split the centre of a large star.
     """
-    shared_dir(edges.sparkSession)
-    at = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    settled = at.isEmpty()
-    before = None
+    spark, had = edges.sparkSession, set(kept_aside())
+    at = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    settled, before = at.isEmpty(), None
     for _ in range(rounds):
         if settled:
             return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        old = [p for p in kept_aside() if p not in had]
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = salted_join(both.filter("v > u"), low, ("u",), "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = salted_join(large, low, ("u",), "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        at = small.checkpoint()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = materialize(skew_join(both.filter("v > u"), low, ("u",)).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        at = materialize(skew_join(large, low, ("u",)).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        drop_kept_aside(spark, old)
         state = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         settled, before = state == before, state
     raise RuntimeError(f"components have not settled in {rounds} rounds")

@@ -9,7 +9,7 @@ latest of each digest counts. There are about ``BATCHES`` micro-batches, of ``LE
 
 Hits, which are digests met twice or more, are checked against full bytes: their documents are grouped by digest *and*
 normalised text, again with a first aggregation in place; if a digest should stand for several texts, its documents are
-classed by the texts themselves. Documents met once take no part in any join or check.
+classed by the texts themselves. Documents met once take no part in the check, and adaptive execution splits hot digests.
 
 Cases. Null counts as empty; all empty texts are equal. Of equal texts and sizes the smallest id stays, a null id is
 the largest; ``dedup`` marks all rows that repeat the kept id as kept, ``one_of_each`` returns exactly one row. An
@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, exists, keep_aside, materialize, one_row_each, partitions, salted_join, shared_dir, source_bytes, text_md5
+from .common import documents, exists, keep_aside, materialize, one_row_each, partitions, shared_dir, skew_join, source_bytes, text_md5
 
 BATCHES, LEAST_BATCH = 8, 64 << 20
 #: Digests with several documents that may be broadcast (64 characters each); more are joined by a shuffle.
@@ -103,19 +103,19 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, digest, bytes_per_batc
     state.run(f"{folder}/digests", narrow.schema, bytes_per_batch or max(LEAST_BATCH, source_bytes(own) // BATCHES))
     several = materialize(state.classes(spark).filter("group_size > 1"))
     # full bytes, on hits
-    some = several.select("digest", "group_size")
+    some = several.select("digest")
     full = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(normalised(F.col(text_col))).alias("digest"), normalised(F.col(text_col)).alias("t"))
-    hits = full.join(F.broadcast(some), "digest", "left_semi") if some.count() <= BROADCAST else salted_join(full, some, ("digest",), "doc_id", "group_size")
-    mixed = materialize(hits.groupBy("digest", "t").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n")).filter("n_texts > 1").select("digest", "n"))
+    hits = full.join(F.broadcast(some), "digest", "left_semi") if some.count() <= BROADCAST else full.join(some, "digest")
+    mixed = materialize(hits.groupBy("digest", "t").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n_texts")).filter("n_texts > 1").select("digest"))
     out = ["doc_id", "keep_id", "keep_md5", "keep_locator", "group_size", "text_sha256", "md5", *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)]]
     if mixed.isEmpty():
-        found = salted_join(own, several, ("digest",), "doc_id", "group_size", "left")
+        found = own.join(several, "digest", "left")
         return _or_itself(found).select(*out)
     # a digest of several texts: its documents are told apart by the texts themselves
-    odd = salted_join(digests(docs.withColumn("_t", normalised(F.col(text_col))), id_col, text_col, digest, (*carry, "_t")), mixed, ("digest",), "doc_id").drop("n")
+    odd = materialize(skew_join(digests(docs.withColumn("_t", normalised(F.col(text_col))), id_col, text_col, digest, (*carry, "_t")), mixed, ("digest",)))
     by_text = odd.groupBy("digest", "_t").agg(*best()).select("digest", "_t", F.col("top.doc_id").alias("keep_id"), F.col("top.md5").alias("keep_md5"), F.col("top.locator").alias("keep_locator"), "group_size")
-    plain = own.join(mixed.select("digest"), "digest", "left_anti")
-    return _or_itself(salted_join(plain, several, ("digest",), "doc_id", "group_size", "left")).select(*out).unionByName(salted_join(odd, by_text, ("digest", "_t"), "doc_id", "group_size").select(*out))
+    plain = own.join(mixed, "digest", "left_anti")
+    return _or_itself(plain.join(several, "digest", "left")).select(*out).unionByName(skew_join(odd, by_text, ("digest", "_t")).select(*out))
 
 
 def _or_itself(found: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pages as P
-from .common import SPACE, Words, documents, materialize, mix, one_row_each, salted_join
+from .common import SPACE, Words, documents, materialize, mix, one_row_each, skew_join
 from .components import connected
 
 N, PERCENT, TILE = 4, 85, 512
@@ -199,11 +199,11 @@ def links(sets: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFram
     # a vertex has a row for each page that holds it; blocks take it once
     held = sets.filter("shared is not null").select("vertex", "n_shingles", "shared", "rare")
     by_key = materialize(held.select("vertex", F.explode("rare").alias("k")).distinct())
-    centre = by_key.groupBy("k").agg(F.min("vertex").alias("c"), F.count("*").alias("n")).filter("n > 1")
-    group = materialize(connected(salted_join(by_key, centre, ("k",), "vertex").select(F.col("vertex").alias("a"), F.col("c").alias("b"))))
+    centre = by_key.groupBy("k").agg(F.min("vertex").alias("c"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    group = materialize(connected(skew_join(by_key, centre, ("k",)).select(F.col("vertex").alias("a"), F.col("c").alias("b"))))
     member = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "vertex")
     size = group.groupBy("root").agg((F.count("*") + 1).alias("m"))
-    rows = materialize(salted_join(member, size, ("root",), "vertex", "m").join(held.drop("rare"), "vertex"))
+    rows = materialize(skew_join(member, size, ("root",)).join(held.drop("rare"), "vertex"))
     product = lambda blocks: blocks.select("g", "i", "j", "vertex", "n_shingles", "shared", "side").groupBy("g", "i", "j").applyInArrow(_block(percent), "a binary, b binary")
     small, large = rows.filter(F.col("m") <= tile), rows.filter(F.col("m") > tile)
     packs = F.lit(max(1, -(-small.count() // max(1, tile // 2))))
@@ -214,10 +214,10 @@ def links(sets: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFram
     # bands: sizes of linked sets differ by a factor of 100 / percent at most, so by one band
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / min(percent, 99)) + 1e-9).cast("long") if percent < 100 else F.col("n_shingles")
     large = large.withColumn("band", band)
-    bands = large.groupBy("root", "band").agg(F.count("*").alias("n"), F.ceil(F.count("*") / tile).alias("tiles"))
+    bands = large.groupBy("root", "band").agg(F.ceil(F.count("*") / tile).alias("tiles"))
     below = bands.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
     bands = bands.join(below, ["root", "band"], "left").withColumn("tiles_below", F.coalesce("tiles_below", F.lit(0)))
-    large = salted_join(large, bands, ("root", "band"), "vertex").drop("n").withColumn("t", F.pmod(F.xxhash64("vertex"), F.col("tiles"))).withColumn("tile", F.col("band") * BAND + F.col("t"))
+    large = skew_join(large, bands, ("root", "band")).withColumn("t", F.pmod(F.xxhash64("vertex"), F.col("tiles"))).withColumn("tile", F.col("band") * BAND + F.col("t"))
     large = materialize(large)
 
     def block(i, j, side: int):
@@ -234,9 +234,9 @@ def links(sets: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFram
     spine = materialize(product(large.withColumn("b", F.explode(meets)).select(F.col("root").alias("g"), "b.i", "b.j", "b.side", "vertex", "n_shingles", "shared")))
     # what is still apart though it shares a key
     part = connected(spine).withColumnsRenamed({"node": "vertex", "root": "part"})
-    keyed = by_key.join(large.select("vertex", "root", "band", "t", "tile"), "vertex").join(part, "vertex", "left").withColumn("part", F.coalesce("part", "vertex"))
-    apart = keyed.groupBy("k").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).filter("x <> y").select("k", "n")
-    keyed = materialize(salted_join(keyed, apart, ("k",), "vertex"))
+    keyed = materialize(by_key.join(large.select("vertex", "root", "band", "t", "tile"), "vertex").join(part, "vertex", "left").withColumn("part", F.coalesce("part", "vertex")))
+    apart = keyed.groupBy("k").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("k")
+    keyed = materialize(skew_join(keyed, apart, ("k",)))
     # pairs of tiles, from the distinct sets of tiles that hold a key
     together = keyed.groupBy("root", "k").agg(F.sort_array(F.collect_set("tile")).alias("s")).select("root", "s").distinct()
     pairs = together.select("root", F.explode("s").alias("i"), "s").select("root", "i", F.explode(F.filter("s", lambda o: (o > F.col("i")) & (o < (F.floor(F.col("i") / BAND) + 2) * BAND))).alias("j")).distinct()
@@ -257,10 +257,10 @@ def _with_components(docs: DataFrame, id_col: str, text_col: str, n: int, percen
     roots = connected(links(sets, percent, tile)).withColumnRenamed("node", "vertex")
     # a set's rows are aggregated before they are shuffled; only sets with several rows or links go on
     least = sets.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    rooted = least.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("all"), F.count("*").alias("n")).filter("all > 1").drop("all")
-    several = salted_join(rooted.drop("least"), smallest, ("root",), "vertex").drop("n")
-    full = salted_join(sets.drop("rare", "shared"), several, ("vertex",), "doc_id", "rows", "left").drop("rows")
+    rooted = materialize(least.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("all")).filter("all > 1").drop("all")
+    several = skew_join(rooted.select("vertex", "root"), smallest, ("root",))
+    full = skew_join(sets.drop("rare", "shared"), several, ("vertex",), "left")
     return full.withColumns({"component_id": F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("doc_id"))), "root": F.coalesce("root", "vertex")})
 
 

@@ -12,7 +12,7 @@ import pytest
 pytest.importorskip("rankforge.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
-from rankforge.llm import bpe, common, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, quality_rules, substring_dedup, suffix_dedup, toxicity  # noqa: E402
+from rankforge.llm import bpe, common, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, pages, quality_rules, substring_dedup, suffix_dedup, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, page int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,10 +73,91 @@ def every():
 
 
 @pytest.mark.parametrize("name", list(every()))
-def test_awkward_tables(name, empty, odd):
-    f = every()[name]
-    assert f(empty).count() == 0
-    assert f(odd).count() == 6
+def test_empty_tables(name, empty):
+    assert every()[name](empty).collect() == []
+
+
+def _by(rows, *names):
+    return sorted((tuple(r[n] for n in names) for r in rows), key=str)
+
+
+def test_odd_tables(odd):
+    """Null ids, null texts, repeated rows and ids, clashing names: what each operator says of every row."""
+    t, o = " ".join(f"w{i}" for i in range(60)), "other text"
+    n, got = len(t), {k: f(odd).collect() for k, f in every().items()}
+    assert _by(got["suffix"], "doc_id", "n_bytes", "n_removed", "n_spans") == sorted([(None, n, n, 1), (None, 0, 0, 0), (1, n, n, 1), (1, n, n, 1), (1, len(o), 0, 0), (2, n, n, 1)], key=str)
+    assert _by(got["substring"], "doc_id", "n_words", "n_removed") == sorted([(None, 60, 0), (None, 0, 0), (1, 60, 60), (1, 60, 60), (1, 2, 0), (2, 60, 60)], key=str)
+    assert _by(got["jaccard"], "doc_id", "n_shingles", "component_id") == sorted([(None, 57, 1), (None, 0, None), (1, 57, 1), (1, 57, 1), (1, 1, 1), (2, 57, 1)], key=str)
+    assert _by(got["exact"], "doc_id", "keep_id", "group_size", "kept") == sorted([(None, 1, 4, False), (None, None, 1, True), (1, 1, 4, True), (1, 1, 4, True), (1, 1, 1, True), (2, 1, 4, False)], key=str)
+    assert _by(got["bpe"], "doc_id", "decoded") == sorted([(None, t), (None, ""), (1, t), (1, t), (1, o), (2, t)], key=str)
+    assert _by(got["quality"], "doc_id", "n_words", "base_failed", "n_repeat_words") == sorted([(None, 60, False, 0), (None, 0, True, 0), (1, 60, False, 0), (1, 60, False, 0), (1, 2, True, 0), (2, 60, False, 0)], key=str)
+    total = 4 * 60 + 2
+    lm = {(r.doc_id, r.n_words): r for r in got["lm"]}
+    first = np.log(4 / total)  # every word of t is seen four times, and always after the same one
+    assert lm[2, 60].total == pytest.approx(first) and lm[1, 2].total == pytest.approx(2 * np.log(1 / total) + np.log(0.4)) and lm[None, 0].score == 0.0
+    # two sources and a null one; the empty text takes nothing
+    sizes = {None: 60, "a": 180, "b": 2}
+    for r in got["mixing"]:
+        assert 0 <= r.taken <= 2 * r.size and r.source_size in sizes.values() and (r.size > 0 or r.taken == 0)
+    assert sum(r.taken for r in got["mixing"]) == pytest.approx(1.5 * total, abs=3)
+    assert {(r.lang_pred, r.score) for r in got["language"]} == {("und", 0.0)} and {(r.score, r.predicted) for r in got["toxicity"]} == {(0.0, 0)}
+
+
+def test_learning_from_odd_tables(spark, empty, odd):
+    everything = F.lit(True)
+    assert language_id.learn(empty, "doc_id", "text", "lang", everything).languages == []
+    model = language_id.learn(odd, "doc_id", "text", "lang", everything)
+    assert sorted(model.languages) == ["de", "en"]
+    got = language_id.identify(odd, model).collect()
+    assert _by(got, "doc_id", "lang_pred") == sorted([(None, "en"), (None, "und"), (1, "en"), (1, "en"), (1, "de"), (2, "en")], key=str)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    for docs, labels in ((empty, none), (odd, none), (empty, spark.createDataFrame([(1, 1)], none.schema)), (odd, spark.createDataFrame([(1, 0), (None, 1), (2, None)], none.schema))):
+        assert toxicity.learn(docs, labels, everything).bias is None
+    # of several labels of an id any 1 counts, and its rows are positives together
+    model = toxicity.learn(odd, spark.createDataFrame([(1, 0), (1, 1), (1, 1)], none.schema), everything)
+    assert model.bias is not None and all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
+
+
+def test_rare_languages_are_learned(spark):
+    """Three documents of one language beside thousands of another, with a sample far smaller than the table; and many languages."""
+    rows = [(i, "der und keit ung sch " * 5, "de") for i in range(3000)] + [(9000 + i, "que eau ment le la " * 5, "fr") for i in range(3)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", F.lit(True), limit=60, least=10)
+    assert model.languages == ["de", "fr"] and model.predict(["que ment la eau", "und der keit"])[0] == ["fr", "de"]
+    many = [(i, f"{chr(0x4E00 + 7 * i)}{chr(0x4E03 + 7 * i)} " * 9, f"l{i:03}") for i in range(300)]
+    assert len(language_id.learn(spark.createDataFrame(many, "doc_id long, text string, lang string"), "doc_id", "text", "lang", F.lit(True), limit=60, least=1).languages) == 300
+
+
+def test_document_frequencies_cover_all(monkeypatch):
+    texts_ = ["abc", "ab", "x" * 500, ""]
+    want = np.zeros(language_id.DIMS, int)
+    for i, _ in language_id.counts(texts_):
+        want[i] += 1
+    assert (language_id.frequencies(texts_) == want).all()
+    monkeypatch.setattr(language_id, "STEP", 100)
+    assert (language_id.frequencies(texts_) == want).all()
+
+
+def test_one_row_of_each(spark):
+    """Exactly one row of each class, with null and repeated ids; columns of any name stay."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    schema = "doc_id long, text string, _kept int, _copies int, _key int, _salt int, _c0 int, vertex int, digest int, n int"
+    make = lambda rows: spark.createDataFrame([(*r, *range(8)) for r in rows], schema)
+    cases = [
+        ([(None, a), (None, a), (1, b), (None, b)], [(None, a), (1, b)]),
+        ([(5, a), (5, b), (3, b)], [(5, a), (3, b)]),
+        ([(5, a), (5, a), (6, a)], [(5, a)]),
+        ([(None, a), (None, a)], [(None, a)]),
+        ([], []),
+    ]
+    for rows, want in cases:
+        for f in (exact_dedup.one_of_each, jaccard_join.one_of_each):
+            got = f(make(rows))
+            assert got.columns == make(rows).columns
+            assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str), (f, rows)
+            assert all(tuple(r)[2:] == tuple(range(8)) for r in got.collect())
+    assert {(r.doc_id, r.text) for r in jaccard_join.one_of_each(make([(1, None), (2, ""), (2, "")])).collect()} == {(1, None), (2, "")}
+    assert mixing.mixed(make([(1, a), (2, b)]).withColumn("source", F.lit("s"))).columns == [*make([]).columns, "source"]
+    assert quality_rules.filter_docs(make([(1, a * 3)])).columns == make([]).columns
 
 
 def test_quality_statistics(docs):
@@ -253,6 +334,62 @@ def test_substring_dedup_verifies_hits(spark):
         assert got == {0: 0, 1: 0, 2: 40, 3: 0}, batches
 
 
+def test_index_goes_on_in_another_session(spark, tmp_path):
+    """Later documents meet the windows of earlier ones by what the folder holds; compaction and a failed attempt leave the same."""
+    words_ = [f"w{i}" for i in range(400)]
+    first = [(i, " ".join(words_[20 * i : 20 * i + 30])) for i in range(8)]
+    later = [(100, " ".join(words_[45:75])), (101, "x " * 5 + " ".join(words_[300:330])), (102, " ".join(words_[300:330]))]
+    one, two = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (first, later))
+    whole = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(one.union(two), window=8).collect()}
+    folder = str(tmp_path / "index")
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(one, window=8, batches=2, fanout=1, folder=folder).collect()}
+    index = substring_dedup.FingerprintIndex.open(spark.newSession(), folder)
+    assert len(index.runs) == 1 and index.window == 8  # compacted
+    (tmp_path / "index" / "runs" / f"run={index.last + 1}").mkdir()
+    (tmp_path / "index" / "runs" / f"run={index.last + 1}" / "left.parquet").write_bytes(b"of a failed attempt")
+    got |= {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(two, folder=folder).collect()}
+    assert got == whole and got[100][0] > 0 and got[102][0] == 30
+
+
+def test_ranges_of_ids(spark):
+    """Pages rise with ids, whatever their spread; null ids come before all."""
+    ids = [None, -(2**40), -5, 0, 1, 2, 3, 2**40, 2**62] + list(range(1000, 1500))
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    plan = pages.Plan(df)
+    plan.pages = 37
+    for ranges in (4, 2048):
+        cuts = pages.Cuts(df, plan, ranges=ranges)
+        own = np.array([i for i in ids if i is not None])
+        page = cuts(own, np.ones(len(own), bool), np.zeros(len(own), np.int64))
+        order = np.argsort(own)
+        assert (np.diff(page[order]) >= 0).all() and page.min() >= plan.pages and page.max() < cuts.pages
+        assert cuts(np.zeros(1, np.int64), np.zeros(1, bool), np.array([5]))[0] == 5
+        bounds = cuts.batches(4)
+        assert bounds[0][0] is None and bounds[-1][1] is None and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
+        for low, high in bounds:  # no page in two batches
+            inside = page[((own > low) if low is not None else True) & ((own <= high) if high is not None else np.ones(len(own), bool))]
+            assert len(inside) == 0 or not set(inside) & set(page[(own > high) if high is not None else np.zeros(len(own), bool)])
+
+
+def test_page_plan_grows_with_the_root():
+    class Docs:
+        pass
+
+    sizes = [10**8, 10**10, 10**12, 10**14]
+    units = [min(pages.MOST, max(pages.LEAST, int((s * pages.BLOB) ** 0.5))) for s in sizes]
+    blobs = [(s / u) ** 2 for s, u in zip(sizes, units)]
+    assert units[-1] == pages.MOST and all(b * pages.BLOB <= 1.1 * s for b, s in zip(blobs[:2], sizes[:2]))
+
+
+def test_components_settle_or_raise(spark):
+    from rankforge.llm.components import connected
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 150)], "a long, b long")
+    assert {r.node: r.root for r in connected(path).collect()} == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 150)}}
+    with pytest.raises(RuntimeError, match="not settled"):
+        connected(path, rounds=1)
+
+
 def test_runs():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
     assert (substring_dedup.unpack_pairs(substring_dedup.pack_pairs(keys, keys.astype(np.uint32)))[0] == keys).all()
@@ -493,3 +630,23 @@ def test_pipeline(spark, tmp_path):
     text = {r[0]: r[1] for r in rows}
     assert all(r.ids_sha256 == sha(next(own.texts([text[r.doc_id]]))[0].encode()) for r in final)
     assert 1.3 < sum(len(words(text[r.doc_id])) for r in final) / sum(len(words(t)) for t in clean) < 1.7
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows and ids, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    prose = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 8))) for _ in range(90))
+    a, b, c = prose(), prose(), prose()
+    rows = [(None, a, None, None, None), (None, a, None, None, None), (1, b, "en", "s", 1), (1, b, "en", "s", 1), (1, c, None, None, 2), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, b + " ", None, "s", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for own, want in ((rows, {(None, a), (1, c), (4, b + " ")}), ([], set())):
+        docs = spark.createDataFrame(own, schema)
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", "), name
+        assert {(r.doc_id, r.text) for r in docs.collect()} == want and docs.count() == len(want)
+        docs = corpus_pipeline.mix(spark, docs, "")
+        assert {(r.doc_id, r.text) for r in docs.collect()} <= want
+        assert corpus_pipeline.encode(spark, docs, "").count() == docs.count()
