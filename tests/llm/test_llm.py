@@ -381,7 +381,8 @@ def test_components_settle_or_raise(spark):
     from rankforge.llm.components import connected
 
     path = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 150)], "a long, b long")
-    assert {r.node: r.root for r in connected(path).collect()} == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 150)}}
+    for hot in (2, 1 << 17):
+        assert {r.node: r.root for r in connected(path, hot=hot).collect()} == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 150)}}
     with pytest.raises(RuntimeError, match="not settled"):
         connected(path, rounds=1)
 
