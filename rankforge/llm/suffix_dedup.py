@@ -11,7 +11,8 @@ so the first digit is chosen by content, such that few suffixes get beyond it:
 * Further digits: spans whose anchor also has other spans (edges of passages, edits) are sent with their bytes to the
   anchor's bucket, where their suffixes are sorted: by distance from the anchor, then eight bytes at a time through
   the threshold (``radix_groups``). Bytes decide, not hashes.
-* An anchor with more than ``SPLIT`` different spans is no bucket's work: its windows are sent one by one (of equal ones
+* An anchor with more than ``SPLIT`` different spans, in a page (which then sends no more than that there are so many) or
+  in all, is no bucket's work: its windows are sent one by one (of equal ones
   of a page, one), dealt by a hash of all their bytes, and sorted there in the same way.
 
 Equal spans are found by 64-bit hashes, compared within an anchor only.
@@ -133,22 +134,31 @@ def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int
         group, d = np.cumsum(new), d + step
 
 
-def _span_keys(s: Spans):
-    """Distinct pairs of anchor and span in the order of anchors: first span with each, whether it occurs twice or more here, the number of each span's pair."""
+def _span_keys(s: Spans, split: int):
+    """Distinct pairs of anchor and span in the order of anchors: first span with each, whether it occurs twice or more here, the number of each span's pair.
+
+    Then of each pair whether its anchor has more than ``split`` here, and whether it is sent: of such anchors the first is, for all.
+    """
     order = np.lexsort((s.span, s.anchor))
     a, b = s.anchor[order], s.span[order]
     head = np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     which = np.empty(len(a), np.int64)
     which[order] = np.cumsum(head) - 1
-    return order[head], np.bincount(which, minlength=int(head.sum())) > 1, which
+    at = order[head]
+    key = s.anchor[at]
+    new = np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+    group = np.cumsum(new) - 1
+    hot = np.bincount(group, minlength=int(new.sum()))[group] > split
+    return at, np.bincount(which, minlength=len(at)) > 1, which, hot, new | ~hot
 
 
-def _ask_spans(threshold: int, anchor: int, buckets: int):
+def _ask_spans(threshold: int, anchor: int, buckets: int, split: int):
     def f(table: pa.Table) -> pa.Table:
         s = Spans(P.load(table)[1], threshold, anchor)
-        at, twice, _ = _span_keys(s)
+        at, twice, _, hot, sent = _span_keys(s, split)
+        at, twice, hot = at[sent], twice[sent], hot[sent]
         page, key, span = table.column("page")[0].as_py(), s.anchor[at], s.span[at]
-        return P.pack([(page, b, P.squeeze((y - x).to_bytes(8, "little") + P.steps(key[x:y]) + P.planes(span[x:y]) + np.packbits(twice[x:y]).tobytes())) for b, x, y in P.slices(P.bucket_of(key, buckets))])
+        return P.pack([(page, b, P.squeeze((y - x).to_bytes(8, "little") + P.steps(key[x:y]) + P.planes(span[x:y]) + np.packbits(np.concatenate([twice[x:y], hot[x:y]])).tobytes())) for b, x, y in P.slices(P.bucket_of(key, buckets))])
 
     return f
 
@@ -160,8 +170,9 @@ def _answer_spans(split: int):
         for page, raw in P.asked(table):
             n = int.from_bytes(raw[:8], "little")
             pages.append((page, n))
-            parts.append((P.unsteps(raw[8 : 8 + 8 * n]), P.unplanes(raw[8 + 8 * n : 8 + 16 * n], "<u8"), np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 + 16 * n), count=n)))
-        anchor, span, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 + 16 * n), count=2 * n)
+            parts.append((P.unsteps(raw[8 : 8 + 8 * n]), P.unplanes(raw[8 + 8 * n : 8 + 16 * n], "<u8"), bits[:n], bits[n:]))
+        anchor, span, twice, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((span, anchor))
         a, s = anchor[order], span[order]
         new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
@@ -172,6 +183,8 @@ def _answer_spans(split: int):
         kinds = np.bincount(group, weights=new_span)[group]
         # of equal spans of an anchor that has others too, the first is told apart, for all of them
         code = np.where(many[kind], WHOLE, 0) | np.where((kinds > 1) & new_span, TELL, 0) | np.where(kinds > split, APART, 0)
+        # where a page has not said which spans it has, all pages tell theirs
+        code = np.where(np.bincount(group, weights=hot[order])[group] > 0, np.where(twice[order] > 0, WHOLE, 0) | TELL | APART, code)
         out = np.empty(len(code), np.uint8)
         out[order] = code
         at = np.cumsum([0, *(n for _, n in pages)])
@@ -203,9 +216,10 @@ class Told:
     place, flat: each window that is asked about, and its number among the windows of what is sent. code: of each span.
     """
 
-    def __init__(self, s: Spans, replies: pa.Table, buckets: int):
-        at, _, which = _span_keys(s)
-        code = P.in_order(P.bucket_of(s.anchor[at], buckets), replies, np.uint8)
+    def __init__(self, s: Spans, replies: pa.Table, buckets: int, split: int):
+        at, twice, which, hot, sent = _span_keys(s, split)
+        code = np.where(twice, WHOLE, 0).astype(np.uint8) | np.uint8(TELL | APART)  # of hot anchors
+        code[~hot] = P.in_order(P.bucket_of(s.anchor[at[sent]], buckets), replies, np.uint8)[~hot[sent]]
         self.code = code[which] if len(code) else np.empty(0, np.uint8)
         whole = np.zeros(len(s.first), bool)
         whole[at] = code & WHOLE > 0
@@ -229,12 +243,12 @@ class Told:
         self.flat = np.concatenate([np.repeat(begin[: len(own)], count[: len(own)]) + inside, begin[len(own) :][number]])
 
 
-def _ask_windows(threshold: int, anchor: int, buckets: int):
+def _ask_windows(threshold: int, anchor: int, buckets: int, split: int):
     def f(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return P.nothing()
         s = Spans(P.load(table)[1], threshold, anchor)
-        t = Told(s, replies, buckets)
+        t = Told(s, replies, buckets, split)
         key, first, count, far, whole = t.key, t.first, t.count, t.far, t.whole
         page, rows = table.column("page")[0].as_py(), []
         for b, x, y in P.slices(P.bucket_of(key, buckets)):
@@ -283,14 +297,14 @@ def _answer_windows(threshold: int):
     return f
 
 
-def _finish(threshold: int, anchor: int, buckets: int, with_bytes: bool):
+def _finish(threshold: int, anchor: int, buckets: int, split: int, with_bytes: bool):
     def f(table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, text = P.load(table)
         s = Spans(text, threshold, anchor)
         bucket = replies.column("bucket").to_numpy()
         one, two = replies.filter(pa.array(bucket >= 0)), replies.filter(pa.array(bucket < 0))
         two = two.set_column(1, "bucket", pc.subtract(pa.scalar(-1, pa.int32()), two.column("bucket")))
-        t, n = Told(s, one, buckets), len(s.buf)
+        t, n = Told(s, one, buckets, split), len(s.buf)
         flag = P.in_order(np.repeat(P.bucket_of(t.key, buckets), t.count), two, bool, bits=True)
         gone = covered(t.place[flag[t.flat]], threshold, n)
         for a, b in zip(s.first[t.code & WHOLE > 0], s.last[t.code & WHOLE > 0], strict=True):
@@ -313,10 +327,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     anchor = anchor or max(1, min(ANCHOR, threshold // 2))
     plan = P.Plan(docs, text_col)
     pages = P.paged(docs, plan, id_col, text_col)
-    spans = P.answer(P.ask(pages, _ask_spans(threshold, anchor, plan.buckets)), _answer_spans(split))
-    asks = P.with_replies(pages, spans, _ask_windows(threshold, anchor, plan.buckets), P.BLOBS)
+    spans = P.answer(P.ask(pages, _ask_spans(threshold, anchor, plan.buckets, split)), _answer_spans(split))
+    asks = P.with_replies(pages, spans, _ask_windows(threshold, anchor, plan.buckets, split), P.BLOBS)
     windows = P.answer(asks, _answer_windows(threshold)).selectExpr("page", "-1 - bucket AS bucket", "blob")
-    return P.with_replies(pages, spans.unionByName(windows), _finish(threshold, anchor, plan.buckets, with_bytes), RESULT)
+    return P.with_replies(pages, spans.unionByName(windows), _finish(threshold, anchor, plan.buckets, split, with_bytes), RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
