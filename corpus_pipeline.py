@@ -1,8 +1,8 @@
 """The training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 Every stage but the last keeps the columns of documents, whatever their names. A stage returns rows that it has written to
-the shared folder; the tables it kept aside on the way are gone by then, and nothing of it is held anywhere else, so
-stages can be called in any order and again. Part of subpackage ``llm``.
+the shared folder; the tables it kept aside on the way are gone by then. Its rows stay until the next stage has written
+its own, or to the end of the program. Part of subpackage ``llm``.
 
 Cases, for all stages: null in any column, empty texts, repeated rows and ids, and empty tables (which give empty ones).
 """
@@ -18,6 +18,9 @@ from rankforge.llm import bpe, exact_dedup, jaccard_join, mixing, quality_rules
 from rankforge.llm.common import documents, drop_kept_aside, kept_aside, materialize
 
 
+_written: list[str] = []  # by the last stage
+
+
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +28,8 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[S
         own = f(spark, docs, sf_dir)
         aside = [p for p in kept_aside() if p not in had]
         out = materialize(own)
-        drop_kept_aside(spark, aside)
+        drop_kept_aside(spark, aside + _written)
+        _written[:] = [p for p in kept_aside() if p not in had]
         return out
 
     return run_stage
