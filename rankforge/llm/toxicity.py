@@ -7,14 +7,17 @@ the positives' risk as clean, and that difference is kept from falling below zer
 reversed). The prior is the share of toxic labels in the labels that may be learned from.
 
 Unlabelled text is all text that may be learned from: it is dealt to blocks of about ``BLOCK`` documents, each block
-trains with all the confirmed documents, and the model is the mean of the blocks'. In each block, scores
-of quarters of the documents by trainings on the others set the level of the threshold. Confirmed documents are a bounded sample,
-of at most ``POSITIVES`` in the order of a hash of their ids. Only features that ``LEAST`` of these (and three
-documents) hold have a weight; a word that stands in fewer of them speaks neither way.
+trains with all the confirmed documents, and the model is the mean of the blocks'. In each block, however many there are,
+scores of all four quarters of the documents by trainings on the others set the level of the threshold; these four and the
+one on all documents run side by side, over lists of texts and features that are walked once for all. Confirmed documents
+are a bounded sample, of at most ``POSITIVES`` in the order of a hash of their ids. Only features that ``LEAST`` of these
+(and three documents; with fewer than 20 confirmed, one) hold have a weight; a word that stands in fewer of them speaks
+neither way.
 
 Cases. A text without words scores as the intercept alone; with no positives, or nothing unlabelled, every score is
-0.0. Null labels are no labels; of several labels of a document any 1 counts. Rows of equal id are scored apart, and are
-positives together. An empty table gives an empty result; other columns are not read. Very long texts are worked on whole.
+0.0. A quarter is left out of the level only if nothing confirmed, or nothing unlabelled, is outside it. Null labels are
+no labels; of several labels of a document any 1 counts. Rows of equal id are scored apart, and are positives together. An
+empty table gives an empty result; other columns are not read. Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ POSITIVES, BLOCK = 4000, 12000
 HEADS = (5, 6, 7, 8, 9, 10)
 THRESHOLD, FALLBACK_PRIOR = 0.7, 0.1
 STEPS = 200
-#: Trainings that set the level of the threshold, over all blocks, at least.
+#: Trainings that set the level of the threshold, in every block, however many blocks there are.
 FOLDS = 4
+#: Columns worked on at once (32 bytes, which are looked up fastest), longest piece of a list, pieces at a time.
+LANES, PIECE, PIECES = 8, 64, 2048
 #: Shares of the unlabelled between which the threshold is sought, in priors; how fast scores rise around it.
 AROUND, SLOPE = (1.15, 0.75), 2.0
 #: Share of the positives that must hold a feature.
@@ -59,29 +64,97 @@ def counted(row: np.ndarray, feature: np.ndarray, dims: int) -> tuple[np.ndarray
     return pair // dims, pair % dims, np.log1p(count) / np.log(2)
 
 
-def nnpu(r: np.ndarray, f: np.ndarray, x: np.ndarray, positive: np.ndarray, prior: float, k: int, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Weights of k features, and intercept. r, f, x: text, feature and value of each entry. positive: whether a text is confirmed; the rest are unlabelled."""
-    n_pos, n_unl = int(positive.sum()), int((~positive).sum())
-    w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
-
-    def slope(s, y):  # of the logistic loss log(1 + exp(-y s))
-        return -y / (1 + np.exp(np.clip(y * s, -50, 50)))
+class Sums:
+    """Sums of rows of a table over lists of row numbers, for ``LANES`` columns at once.
+
+    Lists are cut into pieces of at most ``PIECE``; pieces are sorted by length, and of ``PIECES`` at a time the first
+    numbers are looked up and added together, then the second ones, and so on: each step works on whole arrays."""
+
+    def __init__(self, owner: np.ndarray, number: np.ndarray, n: int):
+        """owner: list of each number, ascending; there are n lists."""
+        start = np.searchsorted(owner, np.arange(n + 1, dtype=owner.dtype))
+        length = np.diff(start)
+        cuts = -(-length // PIECE)
+        of = np.repeat(np.arange(n), cuts)
+        place = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * PIECE
+        size = np.minimum(length[of] - place, PIECE)
+        self.n, self.listed, self.first = n, np.flatnonzero(cuts), (np.cumsum(cuts) - cuts)[cuts > 0]
+        self.order = np.argsort(-size, kind="stable")
+        begin, size, self.steps = (start[of] + place)[self.order], size[self.order], []
+        self.number, done = np.empty(len(number), np.int32), 0
+        for at in range(0, len(of), PIECES):
+            own, most = begin[at : at + PIECES], size[at : at + PIECES]
+            ends = np.searchsorted(-most, -np.arange(most[0]))  # pieces longer than j come first
+            for j, m in enumerate(ends):
+                self.number[done : done + m] = number[own[:m] + j]
+                done += m
+            self.steps.append(ends.tolist())
+
+    def __call__(self, table: np.ndarray) -> np.ndarray:
+        pieces, out = np.empty((len(self.order), LANES), np.float32), np.zeros((self.n, LANES), np.float32)
+        room, wide, done = np.empty((PIECES, LANES), np.float32), np.empty(PIECES, np.intp), 0
+        for i, ends in enumerate(self.steps):
+            total = np.zeros((ends[0], LANES), np.float32)
+            for m in ends:
+                wide[:m] = self.number[done : done + m]
+                total[:m] += table.take(wide[:m], axis=0, out=room[:m], mode="clip")
+                done += m
+            pieces[self.order[i * PIECES : (i + 1) * PIECES]] = total
+        if len(self.listed):
+            out[self.listed] = np.add.reduceat(pieces, self.first, axis=0)
+        return out
+
+
+def nnpu(r: np.ndarray, f: np.ndarray, x: np.ndarray, positive: np.ndarray, uses: np.ndarray, prior: float, k: int, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trainings side by side: weights of k features, intercept, and every text's score without it, each with a column for a training.
+
+    r, f, x: text, feature and value (above zero) of each entry, texts ascending. positive: whether a text is confirmed; the rest are
+    unlabelled. uses: texts by trainings, at most ``LANES``, whether it trains on the text; of both kinds each needs one."""
+    n, lanes = uses.shape
+    pos, unl = uses & positive[:, None], uses & ~positive[:, None]
+    n_pos, n_unl = pos.sum(0), unl.sum(0)
+    # a column for each feature and value: its entries need no product
+    key = f.astype(np.int64) << 32
+    key |= x.astype(np.float32, copy=False).view(np.uint32)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.append(key[:1] >= 0, key[1:] != key[:-1])
+    del key
+    of, value, columns = f[order[new]], x[order[new]].astype(np.float32)[:, None], int(new.sum())
+    owner = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    by_column = Sums(owner, r[order], columns)
+    number = np.empty(len(f), np.int32)
+    number[order] = owner
+    del order, owner
+    by_text = Sums(r, number, n)
+    del number
+    having, first = np.unique(of, return_index=True)
+
+    w, b = np.zeros((k, lanes)), np.full(lanes, np.log(prior / (1 - prior)))
+    m, v = np.zeros((k + 1, lanes)), np.zeros((k + 1, lanes))
+    wide, gains, grad = np.zeros((columns, LANES), np.float32), np.zeros((n, LANES), np.float32), np.zeros((k + 1, lanes))
+
+    def raw():
+        wide[:, :lanes] = w[of] * value
+        return by_text(wide)[:, :lanes]
 
     for t in range(1, steps + 1):
-        s = np.bincount(r, weights=w[f] * x, minlength=len(positive)) + b
-        as_clean = np.logaddexp(0, s)
-        risk = as_clean[~positive].mean() - prior * as_clean[positive].mean()
-        toward_toxic, toward_clean = slope(s, 1), slope(s, -1)
-        if risk < 0:  # the corrected risk may not go negative: undo
-            g = np.where(positive, prior * toward_clean / n_pos, -toward_clean / max(n_unl, 1))
-        else:
-            g = np.where(positive, prior * (toward_toxic - toward_clean) / n_pos, toward_clean / max(n_unl, 1))
-        grad = np.append(np.bincount(f, weights=g[r] * x, minlength=k) + decay * prior * w, g.sum())
+        s = raw() + b  # in double precision: the first steps start from slopes that cancel out
+        e = np.exp(-np.abs(s))
+        as_clean, toward_clean = np.maximum(s, 0) + np.log1p(e), np.where(s > 0, 1, e) / (1 + e)  # the logistic loss and its slope
+        risk = (as_clean * unl).sum(0) / n_unl - prior * (as_clean * pos).sum(0) / n_pos
+        # the slope toward toxic is that toward clean, less one; the corrected risk may not go negative: undo
+        g = np.where(risk < 0, pos * toward_clean * (prior / n_pos) - unl * toward_clean / n_unl, unl * toward_clean / n_unl - pos * (prior / n_pos))
+        gains[:, :lanes] = g
+        if columns:
+            grad[having] = np.add.reduceat(by_column(gains)[:, :lanes] * value, first, axis=0)
+        grad[:k] += decay * prior * w
+        grad[k] = g.sum(0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+        grad[:] = 0
+    return w, b, raw()
 
 
 def calibrate(u: np.ndarray, prior: float) -> float:
@@ -100,18 +173,14 @@ def calibrate(u: np.ndarray, prior: float) -> float:
     return (usual + float(above[0])) / 2 if len(above) else usual + 1.0
 
 
-def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, positive: np.ndarray, prior: float, own: np.ndarray, folds: int = FOLDS, seed: int = 11) -> Model:
-    """Trained on all texts; the first ``folds`` quarters of them are scored by trainings on the others, and these scores, over each training's intercept, set the level. feature: number in ``own``, the chosen features."""
-    quarter = np.random.default_rng(seed).integers(0, 4, len(positive))
-    model, scores = Model(own, *nnpu(row, feature, value, positive, prior, len(own))), []
-    for k in range(min(folds, 4)):
-        out = quarter == k
-        if positive[out].sum() >= 5 and positive[~out].sum() >= 5 and (~positive)[out].any() and (~positive)[~out].any():
-            number, part = np.cumsum(~out) - 1, ~out[row]
-            w, _ = nnpu(number[row[part]], feature[part], value[part], positive[~out], prior, len(own))
-            scores.append(np.bincount(row, weights=w[feature] * value, minlength=len(positive))[out & ~positive])
-    if scores:
-        model.level = model.bias + calibrate(np.concatenate(scores), prior)
+def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, positive: np.ndarray, prior: float, own: np.ndarray, seed: int = 11) -> Model:
+    """Trained on all texts; each of ``FOLDS`` parts of them is scored by a training on the others, and these scores, over each training's intercept, set the level. feature: number in ``own``, the chosen features."""
+    part = np.random.default_rng(seed).integers(0, FOLDS, len(positive))
+    folds = [k for k in range(FOLDS) if all((part[kind] != k).any() for kind in (positive, ~positive))]
+    w, b, s = nnpu(row, feature, value, positive, np.stack([np.full(len(positive), True), *(part != k for k in folds)], axis=1), prior, len(own))
+    model, scores = Model(own, w[:, 0], float(b[0])), [s[(part == k) & ~positive, 1 + i] for i, k in enumerate(folds)]
+    if any(len(u) for u in scores):
+        model.level = model.bias + calibrate(np.concatenate(scores).astype(float), prior)
     return model
 
 
@@ -178,12 +247,13 @@ def learn(docs: DataFrame, labels: DataFrame, learned, id_col: str = "doc_id", t
     def trained(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("i", "ascending")])  # the same however rows arrive
         i, x = (first + table.column(c).to_pylist() for first, c in zip(shared.value, ("i", "x"), strict=True))
+        del table
         positive = np.arange(len(i)) < len(shared.value[0])
         # so that a split by place does not part the two
         order = np.random.default_rng(5).permutation(len(i))
-        i, x, positive = [i[k] for k in order], [x[k] for k in order], positive[order]
-        row = np.repeat(np.arange(len(i)), [len(v) // 4 for v in i])
-        model = fit(row, np.frombuffer(b"".join(i), np.int32), np.frombuffer(b"".join(x), np.float32), positive, prior, own, max(1, FOLDS // blocks))
+        positive, row = positive[order], np.repeat(np.arange(len(i), dtype=np.int32), [len(i[k]) // 4 for k in order])
+        i, x = (np.frombuffer(b"".join([v[k] for k in order]), kind) for v, kind in ((i, np.int32), (x, np.float32)))
+        model = fit(row, i, x, positive, prior, own)
         return pa.table({"f": pa.array([*range(len(own)), -1, -2], pa.int64()), "w": pa.array([*model.weight, model.bias, model.level], pa.float64())})
 
     found = keyed(text).withColumn("block", F.pmod("h", F.lit(blocks))).groupBy("block").applyInArrow(trained, "f long, w double").groupBy("f").agg(F.avg("w").alias("w")).collect()  # a row for each feature, and two

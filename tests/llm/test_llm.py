@@ -597,6 +597,79 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[1000].predicted == 0
 
 
+def _toxicity_table(spark, n, toxic=10):
+    """Documents of random words of which each ``toxic``-th has three that no other has."""
+    rng = random.Random(16)
+    out = []
+    for i in range(n):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40)]
+        if i % toxic == 0:
+            w[:3] = "nastyword", "foulterm", "viletalk"
+        out.append((i, " ".join(w)))
+    return spark.createDataFrame(out, "doc_id long, text string")
+
+
+def test_toxicity_levels_come_from_all_folds_in_every_block(spark):
+    df = _toxicity_table(spark, 480)
+    yes = [i for i in range(0, 480, 10) if i % 20 == 0]
+    model = toxicity.learn(df, spark.createDataFrame([(i, int(i in yes)) for i in range(0, 480, 2)], "doc_id long, toxic int"), F.lit(True), block=100)
+    number = {int(f): k for k, f in enumerate(model.own)}
+
+    def entries(text):
+        _, f, _ = toxicity.features(pa.array([text]))
+        f = np.array([number[v] for v in f.tolist() if v in number], np.int64)
+        return toxicity.counted(np.zeros(len(f), np.int64), f, len(number))[1:]
+
+    hashed = sorted((r.h, r.doc_id, r.text) for r in df.withColumn("h", F.xxhash64("doc_id", "text")).collect())
+    fitted = []
+    for block in range(5):
+        own = [r for r in hashed if r[1] in yes] + [r for r in hashed if r[0] % 5 == block]
+        order = np.random.default_rng(5).permutation(len(own))
+        parts = [entries(own[k][2]) for k in order]
+        row = np.repeat(np.arange(len(own)), [len(f) for f, _ in parts])
+        fitted.append(toxicity.fit(row, *(np.concatenate(v) for v in zip(*parts)), order < len(yes), len(yes) / 240, model.own))
+    assert model.level == pytest.approx(np.mean([m.level for m in fitted]), abs=1e-3) and np.allclose(model.weight, np.mean([m.weight for m in fitted], axis=0), atol=1e-3)
+
+
+def test_toxicity_sets_a_level_from_few_confirmed_documents(spark):
+    df = _toxicity_table(spark, 300)
+    for confirmed in (1, 3, 6):
+        yes = list(range(0, 10 * confirmed, 10))
+        model = toxicity.learn(df, spark.createDataFrame([(i, 1) for i in yes] + [(i, 0) for i in range(299, 299 - 9 * confirmed, -1) if i % 10], "doc_id long, toxic int"), F.lit(True))
+        assert model.bias is not None and model.level != 0.0
+
+
+def test_toxicity_trainings_side_by_side():
+    """Against the loss and its gradient text by text, with texts and features that hold nothing."""
+    rng = np.random.default_rng(3)
+    n, k, prior = 60, 12, 0.3
+    x = np.where(rng.random((n, k)) < 0.4, np.log2(1 + rng.integers(1, 4, (n, k))), 0.0).astype(np.float32)
+    x[[0, 7, 59]], x[:, [0, 5, 11]] = 0, 0
+    x[:, 3] = np.where(np.arange(n) % 59 > 0, 1.0, 0.0)  # nearly all
+    positive, part = np.arange(n) % 3 == 0, rng.integers(0, 4, n)
+    uses = np.stack([np.full(n, True), *(part != i for i in range(4))], axis=1)
+    r, f = np.nonzero(x)
+    w, b, s = toxicity.nnpu(r, f, x[r, f], positive, uses, prior, k, steps=20)
+    for j in range(5):
+        X, P = x[uses[:, j]].astype(float), positive[uses[:, j]]
+        v, c = np.zeros(k), np.log(prior / (1 - prior))
+        m1, m2 = np.zeros(k + 1), np.zeros(k + 1)
+        for t in range(1, 21):
+            z = X @ v + c
+            p = 1 / (1 + np.exp(-z))
+            negative = np.logaddexp(0, z)[~P].mean() - prior * np.logaddexp(0, z)[P].mean() < 0
+            g = np.where(P, prior * p / P.sum(), -p / (~P).sum()) if negative else np.where(P, prior * ((p - 1) - p) / P.sum(), p / (~P).sum())
+            grad = np.append(X.T @ g + 1e-2 * prior * v, g.sum())
+            m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+            step = 0.05 * (1 - t / 21) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+            v, c = v - step[:-1], c - step[-1]
+        assert np.allclose(w[:, j], v, atol=1e-4) and b[j] == pytest.approx(c, abs=1e-4) and np.allclose(s[:, j], x @ v, atol=1e-3)
+    lists = [rng.integers(0, 50, m) for m in (0, 1, 200, 0, 64, 65, 0)]  # longer than a piece
+    table = rng.random((50, toxicity.LANES), np.float32)
+    got = toxicity.Sums(np.repeat(np.arange(7), [len(a) for a in lists]), np.concatenate(lists), 7)(table)
+    assert np.allclose(got, [table[a].sum(0) for a in lists], rtol=1e-4)
+
+
 def test_words_split_as_bytes_do():
     column = pa.array([*texts(), "y" * (common.STEP + 5) + " z", " wide "])
     own = common.Words(column)
