@@ -58,6 +58,13 @@ def features(column) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate([row[k] for k in keep]), np.concatenate([h[k] % np.uint64(DIMS) for h, k in zip(found, keep, strict=True)]).astype(np.int64), len(words.n)
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows, few at a time: the words of a batch take many times its room."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            yield batch.slice(at, 500)
+
+
 def counted(row: np.ndarray, feature: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's distinct features in order, and their values."""
     pair, count = np.unique(row * dims + feature, return_counts=True)
@@ -217,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, learned, id_col: str = "doc_id", t
     confirmed = text.join(F.broadcast(spark.createDataFrame([(i,) for i in yes], "doc_id long")), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "text").limit(positives)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             row, feature, _ = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(row * DIMS + feature) % DIMS)], names=["f"])
 
@@ -228,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, learned, id_col: str = "doc_id", t
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.full(DIMS, -1)
         number[own] = np.arange(len(own))
-        for batch in batches:
+        for batch in small(batches):
             row, feature, n = features(batch.column("text"))
             has = number[feature] >= 0
             r, i, x = counted(row[has], number[feature[has]], max(1, len(own)))
@@ -256,7 +263,8 @@ def learn(docs: DataFrame, labels: DataFrame, learned, id_col: str = "doc_id", t
         model = fit(row, i, x, positive, prior, own)
         return pa.table({"f": pa.array([*range(len(own)), -1, -2], pa.int64()), "w": pa.array([*model.weight, model.bias, model.level], pa.float64())})
 
-    found = keyed(text).withColumn("block", F.pmod("h", F.lit(blocks))).groupBy("block").applyInArrow(trained, "f long, w double").groupBy("f").agg(F.avg("w").alias("w")).collect()  # a row for each feature, and two
+    # a partition for each block, so that no task has several
+    found = keyed(text).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block")).groupBy("block").applyInArrow(trained, "f long, w double").groupBy("f").agg(F.avg("w").alias("w")).collect()  # a row for each feature, and two
     mean = {r["f"]: r["w"] for r in found}
     model = Model(own, np.array([mean[k] for k in range(len(own))]), mean[-1])
     model.level = mean[-2]
@@ -272,11 +280,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         model.level = level
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                s = model.score(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        for part in small(batches):
+            s = model.score(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return own.mapInArrow(f, RESULT)
 

@@ -670,6 +670,22 @@ def test_toxicity_trainings_side_by_side():
     assert np.allclose(got, [table[a].sum(0) for a in lists], rtol=1e-4)
 
 
+def test_toxicity_blocks_are_tasks_of_their_own(spark):
+    df, context = _toxicity_table(spark, 480), spark.sparkContext
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(0, 480, 2)], "doc_id long, toxic int")
+    context.setJobGroup("toxicity blocks", "")
+    try:
+        toxicity.learn(df, labels, F.lit(True), block=50)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    seen = context.statusTracker()
+    stages = {s for job in seen.getJobIdsForGroup("toxicity blocks") for s in seen.getJobInfo(job).stageIds}
+    assert 10 in [info.numTasks for info in map(seen.getStageInfo, stages) if info]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1203))], names=["i"])
+    parts = list(toxicity.small(iter([batch, batch.slice(0, 0), batch.slice(0, 1)])))
+    assert max(p.num_rows for p in parts) == 500 and [v for p in parts for v in p.column("i").to_pylist()] == [*range(1203), 0]
+
+
 def test_words_split_as_bytes_do():
     column = pa.array([*texts(), "y" * (common.STEP + 5) + " z", " wide "])
     own = common.Words(column)
